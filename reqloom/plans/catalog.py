@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: tuple = ()
+from reqloom.plans import integrity
+
+_MODULES: tuple = (integrity,)
 
 
 def queries() -> dict:
