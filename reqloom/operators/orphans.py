@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reqloom.operators.hierarchy import clean_id
-from reqloom.operators.skew import hot_keys, lookup_join
+from reqloom.operators.skew import find_hot, lookup_join
 from reqloom.session import Scratch
 
 CHUNK = 50_000
@@ -164,8 +164,7 @@ def orphan_report(references: DataFrame, parents: DataFrame, **sizes: int) -> Da
     scratch = Scratch(references.sparkSession, "orphan-report")
     miss = scratch.put(orphan_references(references, parents, **sizes).withColumn("month", F.date_format(F.timestamp_micros("at"), "yyyy-MM")), "misses")
     first = parents.filter("key IS NOT NULL AND start IS NOT NULL").groupBy("key").agg(F.min("start").alias("first"))
-    by_key = miss.groupBy("key").count()
-    hot = scratch.put(hot_keys(by_key, "key", miss.count()).coalesce(1), "hot")
+    hot = find_hot(scratch, miss.groupBy("key").count(), "key", miss.count())
     known = lookup_join(miss, first, "key", hot, "left")
     reason = F.when(F.col("first").isNull(), "never exported").when(F.col("first") > F.col("at"), "loaded later").otherwise("deleted")
     per_key = known.groupBy("ref_field", "month", reason.alias("reason"), "key").count()
