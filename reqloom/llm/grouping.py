@@ -9,7 +9,7 @@ A vertex is only ever given a centre from its own component, so any number of gr
 small rates give few levels. Vertices are 64-bit hashes of the element names, used only after it is checked that no
 two names share one; else the names themselves are used.
 
-Skew: an element or cluster with at least a thousandth of all edges is hot. There are at most 2000 of these; their
+Skew: an element or cluster with at least a thousandth of all edges is hot. There are at most 1000 of these; their
 states are broadcast, and their edges stay where they are.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from reqloom.operators.skew import hot_keys, lookup_join
+from reqloom.operators.skew import cold_part, find_hot, hot_part, lookup_join
 from reqloom.session import Scratch
 
 DEFAULT_THRESHOLD = 0.6
@@ -46,24 +46,22 @@ def _level(scratch: Scratch, edges: DataFrame, level: int, rounds: int, rate: fl
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     degree = scratch.put(both.groupBy("u").count(), "degree")
-    hot = scratch.put(hot_keys(degree, "u", 2 * edges.count()).select(F.col("u").alias("h")).coalesce(1), "hot")
-    few = F.broadcast(hot)
+    hot = find_hot(scratch, degree, "u", 2 * edges.count())
 
-    cold = both.join(few, F.col("u") == F.col("h"), "left_anti").repartition(parts, "u").persist(StorageLevel.MEMORY_AND_DISK)
-    warm = both.join(few, F.col("u") == F.col("h"), "left_semi")
+    cold = cold_part(both, "u", hot).repartition(parts, "u").persist(StorageLevel.MEMORY_AND_DISK)
     state = degree.select(F.col("u").alias("x"), F.struct(_start(F.col("u"), rate, level).alias("t"), F.col("u").alias("c")).alias("s"))
     for _ in range(rounds):
-        hot_state = F.broadcast(state.join(few, F.col("x") == F.col("h"), "left_semi"))
         moved = F.struct((F.col("s.t") + 1).alias("t"), F.col("s.c").alias("c")).alias("s")
         sent = cold.join(state, F.col("u") == F.col("x")).select(F.col("v").alias("x"), moved)
-        sent_hot = warm.join(hot_state, F.col("u") == F.col("x")).select(F.col("v").alias("x"), moved)
-        state = sent.unionByName(sent_hot).unionByName(state).groupBy("x").agg(F.min("s").alias("s"))
+        if hot is not None:
+            hot_state = F.broadcast(hot_part(state, "x", hot))
+            sent = sent.unionByName(hot_part(both, "u", hot).join(hot_state, F.col("u") == F.col("x")).select(F.col("v").alias("x"), moved))
+        state = sent.unionByName(state).groupBy("x").agg(F.min("s").alias("s"))
     centre = scratch.put(state.select("x", F.col("s.c").alias("c")), "centre")
     cold.unpersist()
 
-    hot_x = hot.select(F.col("h").alias("x"))
-    half = lookup_join(edges.withColumnRenamed("u", "x"), centre, "x", hot_x).select(F.col("c").alias("cu"), F.col("v").alias("x"))
-    full = lookup_join(half.distinct(), centre, "x", hot_x).filter("cu <> c")
+    half = lookup_join(edges.withColumnRenamed("u", "x"), centre, "x", hot).select(F.col("c").alias("cu"), F.col("v").alias("x"))
+    full = lookup_join(half.distinct(), centre, "x", hot).filter("cu <> c")
     rest = scratch.put(full.select(F.least("cu", "c").alias("u"), F.greatest("cu", "c").alias("v")).distinct(), "edges")
     scratch.drop(degree, hot)
     return centre, rest
@@ -82,8 +80,7 @@ def components(scratch: Scratch, edges: DataFrame, rounds: int = ROUNDS, rate: f
         return edges.select(F.col("u").alias("x"), F.col("v").alias("c"))
     top = levels[-1]
     for below in reversed(levels[:-1]):
-        sizes = below.groupBy("c").count()
-        hot = scratch.put(hot_keys(sizes, "c", below.count()).coalesce(1), "hot")
+        hot = find_hot(scratch, below.groupBy("c").count(), "c", below.count())
         up = top.select(F.col("x").alias("c"), F.col("c").alias("root"))
         joined = lookup_join(below, up, "c", hot, "left").select("x", F.coalesce("root", "c").alias("c"))
         new = scratch.put(joined, "composed")
@@ -112,6 +109,6 @@ def match_groups(connections: DataFrame, threshold: float = DEFAULT_THRESHOLD, r
     comp = components(scratch, edges, rounds, rate)
     rooted = scratch.put(names.join(comp, "x").select("elem", "c"), "rooted")
     least = scratch.put(rooted.groupBy("c").agg(F.min("elem").alias("group_elem"), F.count(F.lit(1)).alias("count")), "least")
-    hot = scratch.put(hot_keys(least, "c", rooted.count()).coalesce(1), "hot")
+    hot = find_hot(scratch, least, "c", rooted.count())
     scratch.drop(edges, comp)
     return lookup_join(rooted, least.select("c", "group_elem"), "c", hot).select("elem", "group_elem")
