@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reqloom.llm.grouping import match_groups
+from reqloom.llm.mixing import mix, mix_report, sized_sources
 from reqloom.llm.neardup import near_groups, near_pairs
+from reqloom.llm.packing import fill_containers, fill_report, sized
 from reqloom.llm.typography import collapse_typography, typographic_copies
-from reqloom.session import table
+from reqloom.session import Scratch, table
 
 
 def p1_found(spark, sf_dir):
@@ -35,7 +37,26 @@ def p3_groups(spark, sf_dir):
     return near_groups(_near_records(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_groups": p3_groups}
+def p6_pack(spark, sf_dir):
+    return fill_containers(sized(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_sizes"))
+
+
+def p6_report(spark, sf_dir):
+    return fill_report(p6_pack(spark, sf_dir))
+
+
+def p7_mix(spark, sf_dir):
+    return mix(sized_sources(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_report(spark, sf_dir):
+    scratch = Scratch(spark, "mix-report")
+    docs = scratch.put(sized_sources(table(spark, sf_dir, "documents")), "sized")
+    targets = table(spark, sf_dir, "mix_targets")
+    return mix_report(docs, targets, mix(docs, targets))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_groups": p3_groups, "p6_pack": p6_pack, "p6_report": p6_report, "p7_mix": p7_mix, "p7_report": p7_report}
 
 #: Canonical keys of sample_reqs, character by character. ``strings`` holds every string to be made canonical.
 _KEYS = r"""ok AS (SELECT ord, id, text FROM sample_reqs
@@ -70,8 +91,14 @@ ORACLE = {
         WITH r AS (SELECT ord AS rec, text FROM sample_reqs UNION ALL SELECT item_id, req_text FROM trace_items),
         w AS (SELECT rec, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS ws FROM r),
         k AS (SELECT rec, ws, len(ws) AS n FROM w WHERE len(ws) >= 8),
-        c AS (SELECT a.rec AS rec_a, b.rec AS rec_b FROM k a JOIN k b ON a.rec < b.rec
-            AND a.n * 10 >= b.n * 7 AND b.n * 10 >= a.n * 7 AND len(list_intersect(a.ws, b.ws)) * 17 >= 7 * (a.n + b.n))
+        e AS (SELECT rec, n, unnest(ws) AS t FROM k),
+        f AS (SELECT t, count(*) AS df FROM e GROUP BY t),
+        o AS (SELECT rec, e.t, row_number() OVER (PARTITION BY rec ORDER BY df, e.t) - 1 AS i, n FROM e JOIN f ON e.t = f.t),
+        p AS (SELECT rec, t, n FROM o WHERE i <= n - ceil(n * 7 / 10)),
+        g AS (SELECT DISTINCT a.rec AS rec_a, b.rec AS rec_b FROM p a JOIN p b
+            ON a.t = b.t AND a.rec < b.rec AND a.n * 10 >= b.n * 7 AND b.n * 10 >= a.n * 7),
+        c AS (SELECT rec_a, rec_b FROM g JOIN k a ON a.rec = rec_a JOIN k b ON b.rec = rec_b
+            WHERE len(list_intersect(a.ws, b.ws)) * 17 >= 7 * (a.n + b.n))
         SELECT rec_a, rec_b FROM c""",
     "p1_found": """
         WITH RECURSIVE l AS (
