@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from reqloom.llm.abuse import THRESHOLD, abuse_report, abuse_scores
 from reqloom.llm.grouping import match_groups
 from reqloom.llm.mixing import mix, mix_report, sized_sources
 from reqloom.llm.neardup import near_groups, near_pairs
@@ -56,7 +57,19 @@ def p7_report(spark, sf_dir):
     return mix_report(docs, targets, mix(docs, targets))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_groups": p3_groups, "p6_pack": p6_pack, "p6_report": p6_report, "p7_mix": p7_mix, "p7_report": p7_report}
+def p8_scores(spark, sf_dir):
+    return abuse_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
+
+
+def p8_found(spark, sf_dir):
+    return p8_scores(spark, sf_dir).filter(F.col("score") >= THRESHOLD).select("doc_id")
+
+
+def p8_report(spark, sf_dir):
+    return abuse_report(p8_scores(spark, sf_dir))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_groups": p3_groups, "p6_pack": p6_pack, "p6_report": p6_report, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_scores": p8_scores, "p8_report": p8_report}
 
 #: Canonical keys of sample_reqs, character by character. ``strings`` holds every string to be made canonical.
 _KEYS = r"""ok AS (SELECT ord, id, text FROM sample_reqs
