@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reqloom.plans import integrity
+from reqloom.plans import integrity, text_queries
 
-_MODULES: tuple = (integrity,)
+_MODULES: tuple = (integrity, text_queries)
 
 
 def queries() -> dict:
