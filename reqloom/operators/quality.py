@@ -78,10 +78,15 @@ def gate_issues(text: Column) -> Column:
     )
 
 
+def role_list(tiles: Column, text: Column, role: str) -> Column:
+    """Texts of a role's elements in text order."""
+    words = F.transform(F.filter(tiles, lambda x: x["role"] == role), lambda x: strip(F.substr(text, x["start"] + 1, x["end"] - x["start"])))
+    return F.filter(words, lambda w: w != "")
+
+
 def role_texts(tiles: Column, text: Column, role: str) -> Column:
     """Texts of a role's elements in text order, joined by " | "."""
-    words = F.transform(F.filter(tiles, lambda x: x["role"] == role), lambda x: strip(F.substr(text, x["start"] + 1, x["end"] - x["start"])))
-    return F.array_join(F.filter(words, lambda w: w != ""), " | ")
+    return F.array_join(role_list(tiles, text, role), " | ")
 
 
 def flat_table(tiled: DataFrame, keep: list[str], text: str = "text") -> DataFrame:

@@ -129,9 +129,8 @@ def q_parse_many(spark, d):
 
 
 def q_author(spark, d):
-    flat = q.flat_table(tiled(spark, d), ["ord"])
-    slots = {r: F.split(r.lower(), r" \| ")[0] for r in vocab.ELEMENT_ROLES}
-    return flat.select("ord", split.compose(slots).alias("text"))
+    slots = {r: F.get(q.role_list(F.col("tiles"), F.col("text"), r), F.lit(0)) for r in vocab.ELEMENT_ROLES}
+    return tiled(spark, d).select("ord", split.compose(slots).alias("text"))
 
 
 def q_kpis(spark, d):
@@ -259,9 +258,9 @@ ORACLE = {
             coalesce(kind, 'none') AS obligation, coalesce(n_actions, 0) AS n_actions, coalesce(operator, '') AS operator,
             len(list_filter(regexp_split_to_array(text, '[{sql.SPACE}]+'), lambda w: w <> '')) AS n_words
         FROM reqs r LEFT JOIN s ON s.ord = r.ord LEFT JOIN acts2 a ON a.ord = r.ord""",
-    "q_author": f"""{_W}, f AS (SELECT r.ord, {', '.join(f"coalesce(min_by(elem, pos) FILTER (role = '{r}'), '') AS {r.lower()}" for r in vocab.ELEMENT_ROLES)} FROM reqs r LEFT JOIN elems e ON e.ord = r.ord GROUP BY r.ord),
-        l AS (SELECT ord, concat_ws(' ', CASE WHEN condition <> '' THEN CASE WHEN right(condition, 1) = ',' THEN condition ELSE condition || ',' END END,
-            {', '.join(f"nullif({r.lower()}, '')" for r in vocab.ROLES if r in vocab.ELEMENT_ROLES and r != "CONDITION")}) AS t FROM f)
+    "q_author": f"""{_W}, f AS (SELECT r.ord, {', '.join(f"coalesce(min_by(elem, pos) FILTER (role = '{r}'), '') AS c_{r.lower()}" for r in vocab.ELEMENT_ROLES)} FROM reqs r LEFT JOIN elems e ON e.ord = r.ord GROUP BY r.ord),
+        l AS (SELECT ord, concat_ws(' ', CASE WHEN c_condition <> '' THEN CASE WHEN right(c_condition, 1) = ',' THEN c_condition ELSE c_condition || ',' END END,
+            {', '.join(f"nullif(c_{r.lower()}, '')" for r in vocab.ROLES if r in vocab.ELEMENT_ROLES and r != "CONDITION")}) AS t FROM f)
         SELECT ord, CASE WHEN right(t, 1) IN ('.', '!', '?') THEN t ELSE t || '.' END AS text FROM l""",
     "q_weak_words": f"{_W} SELECT ord, array_to_string({sql.weak_list('text')}, ', ') AS weak_words FROM reqs",
     "q_smells": f"""{_W} SELECT ord, {sql.flag('text', vocab.PASSIVE)} AS passive_voice, NOT {sql.flag('text', vocab.ANY_MODAL)} AS missing_modality, {sql.flag('text', vocab.VAGUE)} AS vague_quantifier,
