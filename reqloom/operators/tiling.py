@@ -9,7 +9,7 @@ from reqloom.functions.text import strip
 from reqloom.functions.vocab import TERMINAL_ROLES
 from reqloom.operators.extract import resolve_overlaps, sanitise
 
-_TILE = "struct<start:int,end:int,role:string,marker:string,kind:string>"
+TILE = "struct<start:int,end:int,role:string,marker:string,kind:string>"
 
 
 def tiles(text: Column, claims: Column) -> Column:
@@ -19,7 +19,7 @@ def tiles(text: Column, claims: Column) -> Column:
     glue = lambda a, b: F.struct(a.alias("start"), b.alias("end"), F.lit("GLUE").alias("role"), none.alias("marker"), none.alias("kind"))
     before = F.transform(kept, lambda x, i: F.array(glue(F.when(i == 0, 0).otherwise(F.get(kept, i - 1)["end"]), x["start"]), x))
     last = F.coalesce(F.get(kept, F.size(kept) - 1)["end"], F.lit(0))
-    all_ = F.concat(F.flatten(before), F.array(glue(last, F.length(text)))).cast(f"array<{_TILE}>")
+    all_ = F.concat(F.flatten(before), F.array(glue(last, F.length(text)))).cast(f"array<{TILE}>")
     return F.filter(all_, lambda x: x["end"] > x["start"])
 
 

@@ -36,7 +36,7 @@ def q_jaccard_pairs(spark, d):
 
 
 def q_lexical_pairs(spark, d):
-    p = sim.similar_sets(_set_phrases(spark, d, "x"), _set_phrases(spark, d, "y"), 0.5).filter("x < y")
+    p = sim.similar_sets(_set_phrases(spark, d, "x"), _set_phrases(spark, d, "y"), LIMIT).filter("x < y")
     return p.select("role", "x", "y", F.round(sim.lexical(F.col("x"), F.col("y")), 4).alias("score")).filter(F.col("score") >= LIMIT)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reqloom.functions import vocab
 from reqloom.functions.text import escape_dot, escape_mermaid, escape_turtle, escape_xml, is_blank, normal_req_id, normal_text, safe_name, strip
 from reqloom.operators import quality as q
-from reqloom.operators import split, tiling
+from reqloom.operators import export, split, tiling
 from reqloom.operators.extract import extract
 from reqloom.plans import text_sql as sql
 from reqloom.session import table
@@ -188,7 +188,40 @@ def q_escape(spark, d):
     return statements(spark, d).select("ord", escape_xml(c).alias("xml"), escape_turtle(c).alias("turtle"), escape_dot(c).alias("dot"), escape_mermaid(c).alias("mermaid"))
 
 
+def _export(form):
+    def run(spark, d):
+        base, t, a = _graph(spark, d)
+        return export.documents(export.graph_lines(tiling.nodes(t, a, base), tiling.edges(t, a), form), form)
+
+    return run
+
+
+def q_json_graph(spark, d):
+    """Statements whose text comes back from their JSON form."""
+    docs = export.as_json(tiled(spark, d))
+    back = docs.select("ord", F.from_json("document", f"text string, tiles array<{tiling.TILE}>").alias("g"))
+    return back.select("ord", tiling.generated(F.col("g.text"), F.col("g.tiles")).alias("text"))
+
+
+def q_json_meta(spark, d):
+    """Metadata as columns of rows: names and values that are not empty."""
+    meta = table(spark, d, "sample_reqs").select("ord", F.explode("meta").alias("name", "value")).filter("value IS NOT NULL AND value <> ''")
+    return meta.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("n_values"))
+
+
+def q_bio_eval(spark, d):
+    """Exact spans of the EARS template against those of the default one, per role."""
+    one = lambda t: extract(statements(spark, d), t).select("ord", F.explode_outer("claims").alias("x")).filter("x IS NOT NULL").select("ord", "x.start", "x.end", "x.role").distinct()
+    keys = ["ord", "start", "end", "role"]
+    both = one(vocab.EARS).withColumn("p", F.lit(1)).join(one(vocab.RUPP).withColumn("g", F.lit(1)), keys, "full")
+    n = both.groupBy("role").agg(F.count("p").alias("n_pred"), F.count("g").alias("n_gold"), F.count(F.when(F.col("p").isNotNull() & F.col("g").isNotNull(), 1)).alias("n_both"))
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 4)).otherwise(0.0)
+    return n.select("role", "n_pred", "n_gold", "n_both", ratio("n_both", "n_pred").alias("precision"), ratio("n_both", "n_gold").alias("recall"))
+
+
 QUERIES = {
+    "q_mermaid": _export("mermaid"), "q_dot": _export("dot"), "q_cypher": _export("cypher"), "q_graphml": _export("graphml"), "q_turtle": _export("turtle"),
+    "q_json_graph": q_json_graph, "q_json_meta": q_json_meta, "q_bio_eval": q_bio_eval,
     "q_flat_table": q_flat_table, "q_condition": _role("CONDITION", "marker", "kind"), "q_modality": _role("MODALITY", "kind"), "q_subject": _role("SUBJECT"),
     "q_post_condition": _post, "q_constraint": _role("CONSTRAINT", "marker"), "q_function_type": q_function_type, "q_actor": _role("ACTOR"),
     "q_action_split": q_action_split, "q_process_object": q_process_object, "q_tiles": _tiles, "q_generate": q_generate, "q_roundtrip": q_roundtrip,
@@ -226,6 +259,8 @@ _EDGES = """cnt AS (SELECT ord, count(*) AS n FROM terms GROUP BY ord),
         UNION ALL SELECT ord, 'operator_' || (n + 2 + k), 'action_' || (n + 1 + i), 'OPERAND' FROM steps WHERE k > 1)"""
 
 ORACLE = {
+    "q_json_graph": f"{_W} SELECT ord, text FROM reqs",
+    "q_json_meta": "WITH m AS (SELECT unnest(map_entries(meta)) AS e FROM sample_reqs) SELECT e.key AS name, count(*) AS n, count(DISTINCT e.value) AS n_values FROM m WHERE e.value IS NOT NULL AND e.value <> '' GROUP BY 1",
     "q_flat_table": f"""{_W}, ears AS ({sql.EARS}), j AS (SELECT r.ord, {_ALL_ROLES} FROM reqs r LEFT JOIN elems e ON e.ord = r.ord GROUP BY r.ord),
         g AS (SELECT ord, string_agg(words, '' ORDER BY pos) AS t FROM terms GROUP BY ord)
         SELECT r.ord, r.id, r.text, {sql.type_case('r.text')} AS type, ears_pattern, g.t = r.text AS roundtrip_ok, '' AS error, j.* EXCLUDE (ord),
