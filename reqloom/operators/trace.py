@@ -21,6 +21,12 @@ def phrases(rows: DataFrame, role: str, text: Column, key: str, stop=vocab.MODEL
     return rows.select(F.col(role).alias("role"), F.array_join(words, " ").alias(key), words.alias("tokens")).filter(F.size("tokens") > 0).distinct()
 
 
+def ordered_phrases(rows: DataFrame, role: str, text: Column, key: str, stop=vocab.MODEL_STOP) -> DataFrame:
+    """(role, key, tokens): distinct normalised phrases by role, the words in their own order as key."""
+    words = normal_words(text, stop)
+    return rows.select(F.col(role).alias("role"), F.array_join(words, " ").alias(key), F.array_sort(F.array_distinct(words)).alias("tokens")).filter(F.size("tokens") > 0).distinct()
+
+
 def best_matches(pairs: DataFrame, mine: str, other: str) -> DataFrame:
     """The best pair of each (role, ``mine``): highest score, the least ``other`` of those that tie."""
     first = F.row_number().over(Window.partitionBy("role", mine).orderBy(F.desc("score"), other))

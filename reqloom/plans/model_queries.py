@@ -12,7 +12,7 @@ from reqloom.operators import trace
 from reqloom.operators.quality import gate_issues
 from reqloom.plans import text_sql as sql
 from reqloom.plans.text_queries import elems, statements
-from reqloom.session import table
+from reqloom.session import Scratch, table
 
 LIMIT = 0.6
 CANDIDATES = 3
@@ -36,8 +36,11 @@ def q_jaccard_pairs(spark, d):
 
 
 def q_lexical_pairs(spark, d):
-    p = sim.similar_sets(_set_phrases(spark, d, "x"), _set_phrases(spark, d, "y"), LIMIT).filter("x < y")
-    return p.select("role", "x", "y", F.round(sim.lexical(F.col("x"), F.col("y")), 4).alias("score")).filter(F.col("score") >= LIMIT)
+    e = elems(spark, d).filter(F.col("role").isin("SUBJECT", "OBJECT"))
+    # read several times, and costly to extract
+    x = Scratch(spark, "phrases").put(trace.ordered_phrases(e, "role", F.col("text"), "x", vocab.SET_STOP), "phrases")
+    p = sim.similar_phrases(x, x.withColumnRenamed("x", "y"), LIMIT, ordered=True)
+    return p.select("role", "x", "y", F.round("score", 4).alias("score"))
 
 
 def _matches(spark, d):

@@ -45,3 +45,32 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("flat").first().subject == "The pump"
+
+
+def test_phrases_alike_by_characters(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    from reqloom.operators.similarity import similar_phrases
+
+    rnd = random.Random(7)
+    base = ["controller", "pump", "the valve of the main pump", "pressure sensor " * 6, "control unit 7", "a " * 130]
+    texts = {"controller", "controllers", "unit control", "control unit", "pump pump valve", "valve pump"}
+    for b in base:
+        for _ in range(12):
+            t = list(b)
+            for _ in range(rnd.randrange(1, 6)):
+                t[rnd.randrange(len(t))] = rnd.choice("aeit ")
+            texts.add(" ".join("".join(t).split()))
+    texts.discard("")
+
+    def score(x, y):
+        a, b = set(x.split()), set(y.split())
+        return max(len(a & b) / len(a | b), SequenceMatcher(None, x, y).ratio(), SequenceMatcher(None, y, x).ratio())
+
+    want = {(x, y): score(x, y) for x in texts for y in texts if x < y and score(x, y) >= 0.6}
+    s = spark.createDataFrame([("r", t, sorted(set(t.split()))) for t in sorted(texts)], "role string, x string, tokens array<string>")
+    for block in (1000, 20):
+        got = similar_phrases(s, s.withColumnRenamed("x", "y"), 0.6, ordered=True, block=block).collect()
+        assert len(got) == len(want) and {(r.x, r.y): round(r.score, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+    assert ("controller", "controllers") in want and ("control unit", "unit control") in want
