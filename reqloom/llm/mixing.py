@@ -18,7 +18,7 @@ from reqloom.session import Scratch
 BUCKET = 5000
 #: Steepest weight: the share at the end of training is up to so much more than on average.
 STEEPEST = 0.5
-#: A document with more than this part of what is wanted of its source is passed over where only a part of them is used.
+#: A document with more than this part of what is wanted of its source comes last where only a part of them is used.
 COARSE = 0.125
 
 
@@ -83,7 +83,7 @@ def mix(sized: DataFrame, targets: DataFrame, total: float | None = None, bucket
     ``sized``: (doc_id unique, source, n_tokens > 0). ``targets``: (source, target_share, max_repeats), a handful of
     rows. A document is used at most ``max_repeats`` times, ``use_no`` counting from 1, and never in part: a source's
     last one is in if at least half of it is wanted. Where not all documents of a source are used, those with more than
-    COARSE of its wanted tokens are passed over, for shares that are met closely. Sources without a target or without documents give no row; an
+    COARSE of its wanted tokens come after the others, shorter ones first, for shares that are met closely. Sources without a target or without documents give no row; an
     empty table gives an empty result.
     """
     spark = sized.sparkSession
@@ -99,9 +99,13 @@ def mix(sized: DataFrame, targets: DataFrame, total: float | None = None, bucket
     n = docs.count()
     buckets = max(1, -(-n // bucket))
     each = docs.join(plan_, "source").withColumn("use_no", F.explode(F.sequence(F.lit(1), F.col("uses"))))
-    each = each.filter((F.col("use_no") <= F.col("whole")) | (F.col("n_tokens") <= COARSE * F.col("used")))
     each = each.withColumn("h", F.xxhash64("doc_id", "use_no", F.lit(seed)))
-    each = each.withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(buckets)))
+    long_ = (F.col("use_no") > F.col("whole")) & (F.col("n_tokens") > COARSE * F.col("used"))
+    # the shortest 1 / COARSE long ones hold more than all that is wanted, so none after them can be in
+    rank = F.row_number().over(Window.partitionBy("source", "use_no").orderBy("n_tokens", "h", "doc_id"))
+    late = each.filter(long_).withColumn("_rn", rank).filter(F.col("_rn") <= int(1 / COARSE) + 1)
+    each = each.filter(~long_).withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(buckets)))
+    each = each.unionByName(late.withColumn("bucket", F.lit(buckets).cast("long") + F.col("_rn")).drop("_rn"))
     keys = ["source", "use_no", "bucket"]
     sums = each.groupBy(*keys).agg(F.sum("n_tokens").alias("t"))
     by = Window.partitionBy("source").orderBy("use_no", "bucket")

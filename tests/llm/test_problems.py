@@ -165,3 +165,13 @@ def test_scores(spark):
     got = {r.doc_id: r for r in abuse.abuse_scores(docs, labels).collect()}
     assert got[1].score > 0.5 and got[2].score == got[3].score == 0 and got[1].source == "forum"
     assert Counter(r.n_flagged for r in abuse.abuse_report(abuse.abuse_scores(docs, labels)).collect()) == Counter([1, 0])
+
+
+def test_mixture_of_long_documents(spark):
+    docs = [(1, "x", 1500), (2, "x", 2000), (3, "x", 2208), (4, "y", 5000), (5, "y", 600), (6, "y", 90_000), (7, "z", 40_000), (8, "z", 70_000)] + [(100 + i, "s", 55) for i in range(100)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
+    t = spark.createDataFrame([(s, 0.25, 1) for s in "xyzs"], "source string, target_share double, max_repeats int")
+    got = mixing.mix(df, t, bucket=10).toPandas()  # 5500 tokens wanted of each
+    assert set(got[got.source == "x"].doc_id) == {1, 2, 3} and set(got[got.source == "y"].doc_id) == {4, 5}
+    assert len(got[got.source == "s"]) == 100 and not len(got[got.source == "z"])  # not half of either is wanted
+    assert got.position.between(0, 1).all()
