@@ -37,8 +37,9 @@ def part_edges(relations: DataFrame, rel_type: str = "composition", source: str
     return e.filter("parent IS NOT NULL AND child IS NOT NULL").distinct()
 
 
-def walk(edges: list[tuple[str, str]]) -> tuple[dict, list, set, list, set]:
-    """Children by node, roots, nodes on a ring, the edges that close one, and nodes on or below a ring."""
+def walk(edges: list[tuple[str, str]]) -> tuple[dict, list, dict, list, set]:
+    """Children by node, roots, nodes on a ring with the first node found of their strongly connected component, the
+    edges met that close a ring, and nodes on or below a ring."""
     kids: dict[str, list[str]] = {}
     has_parent = set()
     for p, c in edges:
@@ -49,7 +50,8 @@ def walk(edges: list[tuple[str, str]]) -> tuple[dict, list, set, list, set]:
     grey, black = {}, set()  # grey: position on the way
     low: dict[str, int] = {}
     order: dict[str, int] = {}
-    ring, back, held, inside = set(), [], [], set()
+    ring: dict[str, str] = {}
+    back, held, inside = [], [], set()
     for start in [*roots, *kids]:
         if start in order:
             continue
@@ -87,7 +89,7 @@ def walk(edges: list[tuple[str, str]]) -> tuple[dict, list, set, list, set]:
                         if x == node:
                             break
                     if len(group) > 1 or node in kids[node]:
-                        ring.update(group)
+                        ring.update(dict.fromkeys(group, node))
     below, todo = set(ring), list(ring)
     while todo:
         for k in kids[todo.pop()]:
@@ -123,9 +125,9 @@ def _descendants(edges: list) -> Iterator[tuple]:
 
 
 def _rings(edges: list) -> Iterator[tuple]:
-    _, _, ring, back, _ = walk(edges)
-    for p, c in back:
-        if p in ring and c in ring:
+    _, _, ring, _, _ = walk(edges)
+    for p, c in edges:
+        if p in ring and ring[p] == ring.get(c):
             yield p, c
 
 
@@ -184,6 +186,43 @@ def _peel(scratch: Scratch, edges: DataFrame) -> DataFrame:
     return scratch.put(clean, "clean")
 
 
+def _without(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with neither end among ``nodes`` (node_id)."""
+    return edges.join(nodes.withColumnRenamed("node_id", "parent"), "parent", "left_anti").join(nodes.withColumnRenamed("node_id", "child"), "child", "left_anti").select("parent", "child")
+
+
+def _ring_edges(scratch: Scratch, edges: DataFrame) -> DataFrame:
+    """(node_id, closes_to): edges inside strongly connected components.
+
+    What lies on no way between rings is peeled away from both ends. In the rest each node takes the greatest name that
+    reaches it; the nodes of one name that lead back to its bearer are a component. These go, until nothing is left.
+    """
+    found = edges.limit(0).select("parent", "child")
+    rest = edges.select("parent", "child")
+    while True:
+        rest = scratch.put(_without(rest, _peel(scratch, rest)), "rest")
+        rest = scratch.put(_without(rest, _peel(scratch, rest.select(F.col("child").alias("parent"), F.col("parent").alias("child")))), "rest")
+        if rest.isEmpty():
+            return found.select(F.col("parent").alias("node_id"), F.col("child").alias("closes_to"))
+        names = rest.select(F.col("parent").alias("node_id")).union(rest.select("child")).distinct()
+        names = scratch.put(names.withColumns({"name": F.col("node_id"), "new": F.lit(True)}), "names")
+        while not names.filter("new").isEmpty():
+            came = names.filter("new").select(F.col("node_id").alias("parent"), F.col("name").alias("n")).join(rest, "parent").groupBy(F.col("child").alias("node_id")).agg(F.max("n").alias("n"))
+            better = F.coalesce(F.col("n") > F.col("name"), F.lit(False))
+            names = scratch.put(names.join(came, "node_id", "left").select("node_id", F.when(better, F.col("n")).otherwise(F.col("name")).alias("name"), better.alias("new")), "names")
+        end = lambda e: names.select(F.col("node_id").alias(e), F.col("name").alias(f"{e}_name"))  # noqa: E731, B023
+        same = scratch.put(rest.join(end("parent"), "parent").join(end("child"), "child").filter("parent_name = child_name").select("parent", "child"), "same")
+        fresh = scratch.put(names.filter("node_id = name").select("node_id"), "fresh")
+        group = fresh
+        while not fresh.isEmpty():
+            back = same.join(fresh.withColumnRenamed("node_id", "child"), "child").select(F.col("parent").alias("node_id")).distinct()
+            fresh = scratch.put(back.join(group, "node_id", "left_anti"), "fresh")
+            group = scratch.put(group.unionByName(fresh), "group")
+        ends = [group.withColumnRenamed("node_id", e) for e in ("parent", "child")]
+        found = scratch.put(found.unionByName(same.join(ends[0], "parent", "left_semi").join(ends[1], "child", "left_semi").select("parent", "child")), "found")
+        rest = scratch.put(_without(rest, group), "rest")
+
+
 def _large(scratch: Scratch, edges: DataFrame, what: str) -> DataFrame:
     if what == "descendants":
         pairs = scratch.put(edges.select(F.col("parent").alias("node_id"), F.col("child").alias("descendant"), F.lit(1).cast("long").alias("distance")), "pairs")
@@ -195,14 +234,11 @@ def _large(scratch: Scratch, edges: DataFrame, what: str) -> DataFrame:
             fresh = scratch.put(nxt.join(pairs, ["node_id", "descendant"], "left_anti").withColumn("distance", F.lit(far).cast("long")), "pairs")
             pairs = pairs.unionByName(fresh)
         return pairs
+    if what == "rings":
+        return _ring_edges(scratch, edges)
     clean = _peel(scratch, edges)
     nodes = edges.select(F.col("parent").alias("node_id")).union(edges.select("child")).distinct()
     cyclic = nodes.join(clean, "node_id", "left_anti")
-    if what == "rings":  # peel the other way: what has no way on inside leads to no ring
-        inner = scratch.put(edges.join(cyclic.withColumnRenamed("node_id", "parent"), "parent", "left_semi").join(cyclic.withColumnRenamed("node_id", "child"), "child", "left_semi"), "inner")
-        dead = _peel(scratch, inner.select(F.col("child").alias("parent"), F.col("parent").alias("child")))
-        on = inner.join(dead.withColumnRenamed("node_id", "parent"), "parent", "left_anti").join(dead.withColumnRenamed("node_id", "child"), "child", "left_anti")
-        return on.select(F.col("parent").alias("node_id"), F.col("child").alias("closes_to"))
     open_ = scratch.put(edges.join(clean.withColumnRenamed("node_id", "child"), "child", "left_semi"), "open")
     roots = clean.join(edges.withColumnRenamed("child", "node_id"), "node_id", "left_anti")
     fresh = scratch.put(roots.select("node_id", F.col("node_id").alias("path"), F.lit(0).cast("long").alias("depth"), F.col("node_id").alias("root")), "paths")
@@ -219,8 +255,8 @@ def hierarchy(relations: DataFrame, what: str = "paths", rel_type: str = "compos
 
     ``what`` is "paths" (node_id, path, depth, root: a row for each way from a root; for a node on or below a ring one
     row with path "(cycle)", depth and root null), "descendants" (node_id, descendant, distance: everything that can be
-    reached, with the least number of steps) or "rings" (node_id, closes_to: edges that close a ring; in a component
-    beyond ``limit`` all edges inside what remains when everything off the rings has been peeled away).
+    reached, with the least number of steps) or "rings" (node_id, closes_to: all edges that lie on a ring, i.e. inside a
+    strongly connected component).
 
     Rows with a null or blank end or type are left out, repeated rows count once, a node that is its own parent is a
     ring; no matching row gives an empty result; other columns are not read.

@@ -97,3 +97,12 @@ def test_lookup_join_with_hot_keys(spark):
     hot = find_hot(Scratch(spark, "t"), rows.groupBy("k").count(), "k", 6000)
     assert [r.k for r in hot.collect()] == ["h"]
     assert lookup_join(rows, dim, "k", hot).count() == 5990 and lookup_join(rows, dim, "k", hot, "left").count() == 6000
+
+
+def test_rings_do_not_depend_on_size(spark):
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("b", "a"), ("c", "m"), ("m", "n"), ("n", "x"), ("x", "y"), ("y", "x"), ("r", "a"), ("y", "z"), ("s", "s"), ("z", "s"), ("n", "k"), ("k", "k2"), ("k2", "k")]
+    rel = _relations(spark, [(a, b, "composition") for a, b in edges])
+    want = {("a", "b"), ("b", "c"), ("c", "a"), ("b", "a"), ("x", "y"), ("y", "x"), ("s", "s"), ("k", "k2"), ("k2", "k")}
+    for limit in (1000, 0):
+        got = [(r.node_id, r.closes_to) for r in hierarchy(rel, "rings", limit=limit).collect()]
+        assert len(got) == len(want) and set(got) == want
