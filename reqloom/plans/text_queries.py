@@ -124,7 +124,7 @@ def q_split(spark, d):
 
 
 def q_parse_many(spark, d):
-    parts = split.split_statements(statements(spark, d)).filter("id IS NOT NULL")
+    parts = split.split_statements(statements(spark, d))
     return tiling.elements(tiling.terminals(tiling.with_tiles(extract(parts.withColumn("key", F.struct("ord", "part")))), "key")).select("key.ord", "key.part", "pos", "role", "text")
 
 

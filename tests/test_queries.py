@@ -74,3 +74,10 @@ def test_phrases_alike_by_characters(spark):
         got = similar_phrases(s, s.withColumnRenamed("x", "y"), 0.6, ordered=True, block=block).collect()
         assert len(got) == len(want) and {(r.x, r.y): round(r.score, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
     assert ("controller", "controllers") in want and ("control unit", "unit control") in want
+
+
+def test_parse_many_keeps_texts_without_id(spark, tmp_path):
+    rows = [(1, "R", "The pump shall stop."), (2, None, "The valve shall close the inlet.")]
+    spark.createDataFrame(rows, "ord long, id string, text string").write.parquet(str(tmp_path / "sample_reqs.parquet"))
+    got = entry.queries()["q_parse_many"](spark, str(tmp_path)).collect()
+    assert {r.ord for r in got} == {1, 2} and {r.text for r in got if r.ord == 2 and r.role == "SUBJECT"} == {"The valve"}
