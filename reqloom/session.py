@@ -70,10 +70,12 @@ class Scratch:
         except Exception:  # noqa: BLE001 - the JVM may be gone
             pass
 
-    def put(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def put(self, df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
+        """Write and read back; ``by``: a column of few values, each with a folder of its own."""
         self._n += 1
         path = f"{self.root}/{self._n:04d}-{name}"
-        df.write.mode("overwrite").option("compression", "snappy").parquet(path)
+        out = df.write.mode("overwrite").option("compression", "snappy")
+        (out.partitionBy(by) if by else out).parquet(path)
         out = self.spark.read.parquet(path)
         out._scratch_path = path
         return out
