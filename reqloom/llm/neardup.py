@@ -1,17 +1,21 @@
 """Problem 3: near-duplicates by Jaccard similarity of word sets, exactly, by vertical partitioning.
 
-Records with the same word set are one class. The global order of words, rare to common, is cut into fragments; a
-class is cut into one segment per fragment, kept as a bitmap and as the words' hashes.
+Records with the same word set are one class. The global order of words, rare to common, is cut into fragments, and a
+class into one segment for each fragment: a row (frag, cls, n, words), stored and joined by fragment.
 
-Candidates: two classes that are similar enough skip few words before their first common ones, so a class emits the
-sequences of words that can be the first common ones of some pair, each as long as it takes to be rare (the estimated
-number of classes with the sequence is at most ``spread``, or as many words as any pair must share are in it). Both
-classes of a pair emit their sequence. Where two classes meet, bounds on the partial overlaps of all fragments, from
-the bitmaps, are summed and compared with what the lengths demand. For the pairs that remain the partial overlaps are
-counted fragment by fragment and summed per pair. No candidate is dropped for being frequent.
+* Seeds. The first common words of a pair lie in one fragment, and both classes skip few words before them. Each class
+  emits, for every fragment, the sequences of words that can be the first common ones of some pair and start there,
+  each as long as it takes to be rare (the estimated number of classes with it is at most ``spread``, or it has as many
+  words as any pair must share). Where two classes meet on a seed, lengths and bounds on the overlap of each fragment,
+  from bitmaps, must allow the overlap that their lengths demand. No candidate is dropped for being frequent: seeds
+  with very many classes are salted over both sides.
+* Partial overlaps. Candidates meet the segments of each fragment in that fragment's rows and give one partial count
+  for each fragment; the partial counts are summed per pair and compared with what the lengths demand.
+
+No join here is left to automatic broadcasting, as the sizes of tables that Python makes are not known beforehand.
 
 The words whose frequencies are known to the tasks are those with at least 1/200,000 of all occurrences, so at most
-200,000; rarer ones count as if they had that share, which only makes sequences longer than they need be.
+200,000; rarer ones count as if they had that share, which only makes seeds longer than they need be.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reqloom.llm.grouping import components
@@ -36,7 +40,16 @@ FRAGMENTS = 3
 #: Words in less than this share of the classes make the first fragment.
 RARE = 0.01
 
-_SIGNATURE = "sig long, cls long, n int, skip int, b0 long, b1 long, b2 long"
+#: A seed with this part of all seeds (and at least HOT_ROWS) is salted, so at most 1/HOT_SHARE of them are.
+HOT_SHARE = 1 / 1000
+HOT_ROWS = 4000
+#: Hot seeds are looked for among the classes of one in so many hashes; it changes where rows go, never which there are.
+HOT_SAMPLE = 8
+#: Most salts of one seed.
+SALTS = 64
+#: Records of one chunk of a class, about, when classes are written out as pairs of records.
+CHUNK = 1000
+
 _WORDS = 50_000
 _ROWS = 100_000
 
@@ -76,99 +89,150 @@ class _Order:
         return np.searchsorted(self.cuts, shares, side="right")
 
 
+    def sorted(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(size, rec, words, shares) of a batch (cls, hashes), each class's words in global order."""
+        size = np.asarray(batch.column(1).value_lengths()).astype(np.int64)
+        words = np.asarray(batch.column(1).flatten())
+        rec = np.repeat(np.arange(len(size)), size)
+        shares = self.shares(words)
+        by = np.lexsort((words, shares, rec))
+        return size, rec, words[by], shares[by]
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (cls, hashes) of about as many words each, so that one of very long texts holds few."""
+    for b in batches:
+        if b.num_rows:
+            part = np.cumsum(np.asarray(b.column(1).value_lengths()).astype(np.int64)) // _WORDS
+            starts = np.flatnonzero(np.diff(part, prepend=-1))
+            for lo, hi in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                yield b.slice(lo, hi - lo)
+
+
 def _segments(order: _Order):
-    """Arrow kernel: (cls, hashes) to (cls, n, one list of words in global order for each fragment)."""
-    lists = [(f"s{i}", pa.list_(pa.int64())) for i in range(FRAGMENTS)]
-    schema = pa.schema([("cls", pa.int64()), ("n", pa.int32()), *lists])
+    """Arrow kernel: (cls, hashes) to one row (frag, cls, n, words) for each fragment in which a class has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            size = np.asarray(b.column(1).value_lengths()).astype(np.int64)
-            words = np.asarray(b.column(1).flatten())
-            rec = np.repeat(np.arange(len(size)), size)
-            f = order.shares(words)
-            by = np.lexsort((words, f, rec))
-            words, frag = words[by], order.fragments(f[by])
-            out = []
-            for i in range(FRAGMENTS):
-                mine = frag == i
-                off = np.concatenate(([0], np.cumsum(np.bincount(rec[mine], minlength=len(size)))))
-                out.append(pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(words[mine])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), *out], schema=schema)
+        for b in _small(batches):
+            size, rec, words, shares = order.sorted(b)
+            cls = np.asarray(b.column(0))
+            cell = rec * FRAGMENTS + order.fragments(shares)
+            starts = np.flatnonzero(np.diff(cell, prepend=-1))
+            at = cell[starts] // FRAGMENTS
+            lists = pa.ListArray.from_arrays(pa.array([*starts, len(words)], pa.int32()), pa.array(words))
+            cols = [pa.array(cell[starts] % FRAGMENTS, pa.int32()), pa.array(cls[at]), pa.array(size[at], pa.int32()), lists]
+            yield pa.RecordBatch.from_arrays(cols, names=["frag", "cls", "n", "words"])
 
     return run
 
 
-def _signatures(order: _Order, total: int, t: Fraction, min_words: int, spread: float):
-    """Arrow kernel: (cls, words in global order) to signatures."""
+class _Salts:
+    """Hot seeds (sorted) and the number of salts of each."""
+
+    def __init__(self, seeds: np.ndarray, salts: np.ndarray):
+        by = np.argsort(seeds)
+        self.seeds, self.salts = seeds[by], salts[by]
+
+    def of(self, seeds: np.ndarray) -> np.ndarray:
+        if not len(self.seeds):
+            return np.ones(len(seeds), np.int64)
+        at = np.minimum(np.searchsorted(self.seeds, seeds), len(self.seeds) - 1)
+        return np.where(self.seeds[at] == seeds, self.salts[at], 1)
+
+
+def _mix(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    h = (h ^ x) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+_SEED = "sig long, cls long, n int, skip int, b0 long, b1 long, b2 long"
+
+
+def _seeds(order: _Order, total: int, t: Fraction, min_words: int, spread: float, short: bool = False, hot: _Salts | None = None):
+    """Arrow kernel: (cls, hashes) to seeds (``_SEED``).
+
+    ``short``: only those a class can need as the shorter one of a pair. Salted seeds: the shorter side draws one salt,
+    the longer side has a row for each.
+    """
     depth = -(-t.numerator * min_words // t.denominator)
     stop = np.log(spread / max(total, 1))
-    schema = pa.schema([("sig", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("skip", pa.int32()), *((f"b{i}", pa.int64()) for i in range(FRAGMENTS))])
-
-    def one(cls: np.ndarray, words: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rec = np.repeat(np.arange(len(size)), size)
-        f = order.shares(words)
-        off = np.concatenate(([0], np.cumsum(size)))
-        mixed = words.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        bits = np.zeros((len(size), FRAGMENTS), np.uint64)
-        np.bitwise_or.at(bits, (rec, order.fragments(f)), np.uint64(1) << (mixed >> np.uint64(58)))
-        bits = bits.view(np.int64)
-        logf = np.log(f)
-        slack = size - -(-t.numerator * size // t.denominator)  # words that a class may skip beside a shorter one
-        r = np.arange(len(size))
-        i, skip, p, h = np.zeros(len(r), np.int64), np.zeros(len(r), np.int64), np.zeros(len(r)), np.zeros(len(r), np.uint64)
-        for k in range(1, depth + 1):
-            ways = np.minimum(size[r] - i, slack[r] - skip + 1)
-            src = np.repeat(np.arange(len(r)), ways)
-            step = np.arange(len(src)) - np.repeat(np.cumsum(ways) - ways, ways)
-            r, j, skip = r[src], i[src] + step, skip[src] + step
-            w = off[r] + j
-            p = p[src] + logf[w]
-            h = (h[src] ^ mixed[w]) * np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(32)
-            done = (p <= stop) | (k == depth)
-            d = np.flatnonzero(done)
-            for lo in range(0, len(d), _ROWS):
-                e = d[lo : lo + _ROWS]
-                rows = [h[e].view(np.int64), cls[r[e]], size[r[e]].astype(np.int32), skip[e].astype(np.int32), *(bits[r[e], x] for x in range(FRAGMENTS))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], schema=schema)
-            go = np.flatnonzero(~done)
-            if not len(go):
-                return
-            r, i, skip, p, h = r[go], j[go] + 1, skip[go], p[go], h[go]
+    names = ["sig", "cls", "n", "skip", *(f"b{i}" for i in range(FRAGMENTS))]
+
+    def spread_out(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Salted seeds and the row each is of."""
+        rows = np.arange(len(sig))
+        if hot is None:
+            return sig, rows
+        salts = hot.of(sig.view(np.int64))
+        if short:
+            salt = _mix(cls.view(np.uint64), np.uint64(1)) % salts.astype(np.uint64)
+        else:
+            rows = np.repeat(rows, salts)
+            salt = (np.arange(len(rows)) - np.repeat(np.cumsum(salts) - salts, salts)).astype(np.uint64)
+        return np.where(salts[rows] > 1, _mix(sig[rows], salt + np.uint64(1)), sig[rows]), rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            size = np.asarray(b.column(1).value_lengths()).astype(np.int64)
-            # batches of about as many words each, so that one of very long texts holds few
-            part = np.cumsum(size) // _WORDS
-            for g in np.unique(part):
-                lo, hi = np.searchsorted(part, g), np.searchsorted(part, g, side="right")
-                x = b.slice(lo, hi - lo)
-                yield from one(np.asarray(x.column(0)), np.asarray(x.column(1).flatten()), size[lo:hi])
+        for b in _small(batches):
+            size, rec, words, f = order.sorted(b)
+            cls = np.asarray(b.column(0))
+            off = np.concatenate(([0], np.cumsum(size)))
+            mixed = words.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            bits = np.zeros((len(size), FRAGMENTS), np.uint64)
+            np.bitwise_or.at(bits, (rec, order.fragments(f)), np.uint64(1) << (mixed >> np.uint64(58)))
+            bits = bits.view(np.int64)
+            logf = np.log(f)
+            # words that a class may skip: beside one of its own length, or beside a shorter one
+            slack = size - (need(size, size, t) if short else -(-t.numerator * size // t.denominator))
+            r = np.arange(len(size))
+            i, skip, p, h = np.zeros(len(r), np.int64), np.zeros(len(r), np.int64), np.zeros(len(r)), np.zeros(len(r), np.uint64)
+            for k in range(1, depth + 1):
+                ways = np.minimum(size[r] - i, slack[r] - skip + 1)
+                src = np.repeat(np.arange(len(r)), ways)
+                step = np.arange(len(src)) - np.repeat(np.cumsum(ways) - ways, ways)
+                r, j, skip = r[src], i[src] + step, skip[src] + step
+                w = off[r] + j
+                p = p[src] + logf[w]
+                h = _mix(h[src], mixed[w])
+                done = (p <= stop) | (k == depth)
+                d = np.flatnonzero(done)
+                for lo in range(0, len(d), _ROWS):
+                    e = d[lo : lo + _ROWS]
+                    sig, rows = spread_out(h[e], cls[r[e]])
+                    e = e[rows]
+                    cols = [sig.view(np.int64), cls[r[e]], size[r[e]].astype(np.int32), skip[e].astype(np.int32), *(bits[r[e], x] for x in range(FRAGMENTS))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=names)
+                go = np.flatnonzero(~done)
+                if not len(go):
+                    break
+                r, i, skip, p, h = r[go], j[go] + 1, skip[go], p[go], h[go]
 
     return run
 
 
-def similar_classes(scratch: Scratch, classes: DataFrame, t: Fraction, min_words: int, spread: float) -> DataFrame:
-    """(x, y): pairs of classes (cls, hashes; written) that are similar enough."""
-    total = classes.count()
-    df = classes.select(F.explode("hashes").alias("w")).groupBy("w").count()
-    occurrences = classes.agg(F.sum(F.size("hashes"))).first()[0] or 0
-    least = max(spread / 4, occurrences / KNOWN)
-    frequent = df.filter(F.col("count") >= least).toPandas().sort_values("w")  # at most KNOWN rows
-    order = _Order(frequent["w"].to_numpy(np.int64), frequent["count"].to_numpy(float) / max(total, 1), least / max(total, 1))
-    segments = scratch.put(classes.mapInArrow(_segments(order), "cls long, n int, " + ", ".join(f"s{i} array<bigint>" for i in range(FRAGMENTS))), "segments")
-    in_order = segments.select("cls", F.concat(*(f"s{i}" for i in range(FRAGMENTS))).alias("words"))
-    sigs = in_order.mapInArrow(_signatures(order, total, t, min_words, spread), _SIGNATURE)
-
+def _hot_seeds(classes: DataFrame, kernel) -> _Salts:
+    """Seeds of very many classes, at most 1/HOT_SHARE of them, from the classes of one in HOT_SAMPLE hashes."""
+    some = classes.filter(F.pmod(F.xxhash64("cls"), F.lit(HOT_SAMPLE)) == 0).select("cls", "hashes")
+    counts = some.mapInArrow(kernel, _SEED).groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    scratch = Scratch(classes.sparkSession, "seeds")
+    counts = scratch.put(counts.filter("n > 1").select("sig", "n"), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    least = max(total * HOT_SHARE, HOT_ROWS / HOT_SAMPLE)
+    hot = counts.filter(F.col("n") >= least).toPandas()
+    scratch.drop(counts)
+    seeds, n = hot["sig"].to_numpy(np.int64), hot["n"].to_numpy(np.int64)
+    return _Salts(seeds, np.clip(np.ceil(n / least).astype(np.int64) + 1, 2, SALTS))
+
+
+def candidates(classes: DataFrame, order: _Order, total: int, t: Fraction, min_words: int, spread: float) -> DataFrame:
+    """(x, y, shared): pairs of classes that meet on a seed and whose bitmaps allow ``shared`` common words."""
+    rows = classes.select("cls", "hashes")
+    hot = _hot_seeds(classes, _seeds(order, total, t, min_words, spread))
+    short = rows.mapInArrow(_seeds(order, total, t, min_words, spread, True, hot), _SEED)
+    long_ = rows.mapInArrow(_seeds(order, total, t, min_words, spread, False, hot), _SEED)
+    long_ = long_.select("sig", F.col("cls").alias("cls_y"), F.col("n").alias("m"), F.col("skip").alias("skip_y"), *(F.col(f"b{i}").alias(f"c{i}") for i in range(FRAGMENTS)))
     n, m = F.col("n"), F.col("m")
-    # what the shorter class of any pair may skip is most beside one of its own length
-    short = sigs.filter(F.col("skip") <= n - need(n, n, t))
-    long_ = sigs.select("sig", F.col("cls").alias("cls_y"), F.col("n").alias("m"), F.col("skip").alias("skip_y"), *(F.col(f"b{i}").alias(f"c{i}") for i in range(FRAGMENTS)))
     shared = need(n, m, t)
+    # differing bits of a fragment are at most the words by which its segments differ
     apart = sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"c{i}"))) for i in range(FRAGMENTS)), F.lit(0))
     meet = (
         ((n < m) | ((n == m) & (F.col("cls") < F.col("cls_y"))))
@@ -177,49 +241,86 @@ def similar_classes(scratch: Scratch, classes: DataFrame, t: Fraction, min_words
         & (F.col("skip_y") <= m - shared)
         & (apart <= n + m - shared * 2)
     )
-    pairs = short.join(long_, "sig").filter(meet).select(F.col("cls").alias("x"), F.col("cls_y").alias("y")).distinct()
+    met = short.hint("merge").join(long_, "sig").filter(meet)
+    return met.select(F.col("cls").alias("x"), F.col("cls_y").alias("y"), shared.alias("shared")).distinct()
+
+
+def partial_overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """(x, y, shared, frag, part): for each fragment the words that the two segments of a pair share in it."""
+    a = segments.select(F.col("cls").alias("x"), "frag", F.col("words").alias("a"))
+    b = segments.select(F.col("cls").alias("y"), "frag", F.col("words").alias("b"))
+    met = pairs.join(a.hint("merge"), "x").join(b.hint("merge"), ["y", "frag"])
+    return met.select("x", "y", "shared", "frag", F.size(F.array_intersect("a", "b")).alias("part"))
+
 
-    # partial overlaps, one count for each fragment, summed per pair
-    a = segments.select(F.col("cls").alias("x"), "n", *(F.col(f"s{i}").alias(f"a{i}") for i in range(FRAGMENTS)))
-    b = segments.select(F.col("cls").alias("y"), F.col("n").alias("m"), *(F.col(f"s{i}").alias(f"b{i}") for i in range(FRAGMENTS)))
-    overlap = sum((F.size(F.array_intersect(f"a{i}", f"b{i}")) for i in range(FRAGMENTS)), F.lit(0))
-    return scratch.put(pairs.join(a, "x").join(b, "y").filter(overlap >= shared).select("x", "y"), "pairs")
+def similar_classes(scratch: Scratch, classes: DataFrame, t: Fraction, min_words: int, spread: float) -> DataFrame:
+    """(x, y): pairs of classes (cls, hashes; written) that are similar enough."""
+    total = classes.count()
+    df = classes.select(F.explode("hashes").alias("w")).groupBy("w").count()
+    occurrences = classes.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    least = max(spread / 4, occurrences / KNOWN)
+    frequent = df.filter(F.col("count") >= least).toPandas().sort_values("w")  # at most KNOWN rows
+    order = _Order(frequent["w"].to_numpy(np.int64), frequent["count"].to_numpy(float) / max(total, 1), least / max(total, 1))
+    rows = classes.select("cls", "hashes").mapInArrow(_segments(order), "frag int, cls long, n int, words array<bigint>")
+    segments = scratch.put(rows, "segments", by="frag")
+    parts = partial_overlaps(candidates(classes, order, total, t, min_words, spread), segments)
+    found = parts.groupBy("x", "y").agg(F.sum("part").alias("overlap"), F.first("shared").alias("shared")).filter("overlap >= shared")
+    return scratch.put(found.select("x", "y"), "pairs")
 
 
-def _prepare(records: DataFrame, t: Fraction, min_words: int, spread: float) -> tuple[Scratch, DataFrame, DataFrame]:
+def _prepare(records: DataFrame, t: Fraction, min_words: int, spread: float) -> tuple[Scratch, DataFrame, DataFrame, DataFrame]:
     scratch = Scratch(records.sparkSession, "neardup")
     sets = scratch.put(word_sets(records, min_words), "sets")
     groups = scratch.put(sets.groupBy("key").agg(F.min("rec").alias("cls"), F.count(F.lit(1)).alias("count")), "classes")
     hot = find_hot(scratch, groups, "key", sets.count())
-    members = scratch.put(lookup_join(sets.select("rec", "key"), groups.select("key", "cls"), "key", hot).select("rec", "cls"), "members")
-    heads = sets.join(groups.select(F.col("cls").alias("rec")), "rec", "left_semi")
+    members = scratch.put(lookup_join(sets.select("rec", "key"), groups.select("key", "cls", "count"), "key", hot).select("rec", "cls", "count"), "members")
+    heads = sets.join(groups.select(F.col("cls").alias("rec")).hint("merge"), "rec", "left_semi")
     classes = scratch.put(heads.select(F.col("rec").alias("cls"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")), "words")
     pairs = similar_classes(scratch, classes, t, min_words, spread)
-    return scratch, members, pairs
+    scratch.drop(sets)
+    return scratch, members, groups, pairs
+
+
+def _n_chunks(count: Column) -> Column:
+    return F.ceil(count / CHUNK).cast("int")
 
 
 def near_pairs(records: DataFrame, t: Fraction = THRESHOLD, min_words: int = MIN_WORDS, spread: float = SPREAD) -> DataFrame:
     """(rec_a, rec_b), rec_a < rec_b: all pairs of records (rec unique, text) whose word sets are similar enough.
 
     Null texts and records with fewer than ``min_words`` words are left out; records with the same words are pairs
-    like any other; an empty table gives an empty result; other columns are not read.
+    like any other; an empty table gives an empty result; other columns are not read. The records of a class are kept
+    in chunks of bounded size, and chunks meet chunks in tasks of their own, so a large class is never in one task.
     """
-    _, members, pairs = _prepare(records, t, min_words, spread)
-    across = pairs.join(members.select(F.col("cls").alias("x"), F.col("rec").alias("a")), "x").join(members.select(F.col("cls").alias("y"), F.col("rec").alias("b")), "y")
-    out = across.select(F.least("a", "b").alias("rec_a"), F.greatest("a", "b").alias("rec_b"))
-    same = members.select("cls", F.col("rec").alias("rec_a")).join(members.select("cls", F.col("rec").alias("rec_b")), "cls").filter("rec_a < rec_b")
-    return out.unionByName(same.select("rec_a", "rec_b"))
+    scratch, members, groups, pairs = _prepare(records, t, min_words, spread)
+    chunk = F.pmod(F.xxhash64("rec"), _n_chunks(F.col("count"))).cast("int")
+    chunks = scratch.put(members.groupBy("cls", chunk.alias("chunk")).agg(F.collect_list("rec").alias("recs"), F.first("count").alias("count")), "chunks")
+    n = groups.select("cls", _n_chunks(F.col("count")).alias("n"))
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+
+    def side(cls: str, recs: str) -> DataFrame:
+        return chunks.select(F.col("cls").alias(cls), F.col("chunk").alias(f"chunk_{cls}"), F.col("recs").alias(recs)).hint("merge")
+
+    cells = pairs.join(n.select(F.col("cls").alias("x"), F.col("n").alias("n_x")).hint("merge"), "x").join(n.select(F.col("cls").alias("y"), F.col("n").alias("n_y")).hint("merge"), "y")
+    cells = cells.withColumn("chunk_x", every("n_x")).withColumn("chunk_y", every("n_y"))
+    across = cells.join(side("x", "a"), ["x", "chunk_x"]).join(side("y", "b"), ["y", "chunk_y"]).select("a", "b")
+    across = across.select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b"))
+    mine = chunks.filter("count > 1")
+    left = mine.select("cls", F.col("chunk").alias("cell"), F.col("recs").alias("a"))
+    right = mine.withColumn("n", _n_chunks(F.col("count"))).select("cls", every("n").alias("cell"), F.col("recs").alias("b"))
+    same = left.join(right.hint("merge"), ["cls", "cell"]).select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b")).filter("a < b")
+    return across.select(F.least("a", "b").alias("rec_a"), F.greatest("a", "b").alias("rec_b")).unionByName(same.select(F.col("a").alias("rec_a"), F.col("b").alias("rec_b")))
 
 
 def near_groups(records: DataFrame, t: Fraction = THRESHOLD, min_words: int = MIN_WORDS, spread: float = SPREAD) -> DataFrame:
     """(rec, class_rec, group_rec, n_links): every record with the first record of its word set, the first record of
     its group of directly or indirectly similar records, and the number of other word sets it is similar to."""
-    scratch, members, pairs = _prepare(records, t, min_words, spread)
+    scratch, members, groups, pairs = _prepare(records, t, min_words, spread)
     edges = scratch.put(pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")), "edges")
     comp = components(scratch, edges)
     least = comp.groupBy("c").agg(F.min("x").alias("group_rec"))
     links = edges.select(F.explode(F.array("u", "v")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
-    known = scratch.put(comp.join(least, "c").select(F.col("x").alias("cls"), "group_rec").join(links, "cls"), "known")
-    hot = find_hot(scratch, members.groupBy("cls").count(), "cls", members.count())
-    got = lookup_join(members, known, "cls", hot, "left")
+    known = scratch.put(comp.join(least.hint("merge"), "c").select(F.col("x").alias("cls"), "group_rec").join(links.hint("merge"), "cls"), "known")
+    hot = find_hot(scratch, groups.select("cls", "count"), "cls", members.count())
+    got = lookup_join(members.select("rec", "cls"), known, "cls", hot, "left")
     return got.select("rec", F.col("cls").alias("class_rec"), F.coalesce("group_rec", "cls").alias("group_rec"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -95,24 +95,36 @@ _KEYS = r"""ok AS (SELECT ord, id, text FROM sample_reqs
     keys AS (SELECT o.ord, i.s || '/' || string_agg(o.s, ';' ORDER BY o.s) || CASE WHEN min(o.k) < 0 THEN '' ELSE '/F' END AS key
         FROM one o JOIN canon i ON i.ord = o.ord AND i.part = 'id' GROUP BY o.ord, i.s)"""
 
-ORACLE = {
-    "p2_found": f"""WITH {_KEYS}, f AS (SELECT ord, min(ord) OVER (PARTITION BY key) AS first_ord FROM keys)
-        SELECT first_ord, ord AS copy_ord FROM f WHERE ord <> first_ord""",
-    "p2_records": f"""WITH {_KEYS}, g AS (SELECT min(ord) AS ord, count(*) AS n_copies FROM keys GROUP BY key)
-        SELECT s.ord, s.id, s.text, g.n_copies FROM g JOIN sample_reqs s ON s.ord = g.ord""",
-    "p3_found": """
-        WITH r AS (SELECT ord AS rec, text FROM sample_reqs UNION ALL SELECT item_id, req_text FROM trace_items),
-        w AS (SELECT rec, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS ws FROM r),
-        k AS (SELECT rec, ws, len(ws) AS n FROM w WHERE len(ws) >= 8),
+
+def _similar(rows: str) -> str:
+    """CTEs up to c (rec_a, rec_b): similar pairs of ``rows`` (rec, ws, n), by a prefix filter on single words."""
+    return f"""r0 AS (SELECT ord AS rec, text FROM sample_reqs UNION ALL SELECT item_id, req_text FROM trace_items),
+        w AS (SELECT rec, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS ws FROM r0),
+        sets AS (SELECT rec, ws, len(ws) AS n, min(rec) OVER (PARTITION BY ws) AS class_rec FROM w WHERE len(ws) >= 8),
+        k AS ({rows}),
         e AS (SELECT rec, n, unnest(ws) AS t FROM k),
         f AS (SELECT t, count(*) AS df FROM e GROUP BY t),
         o AS (SELECT rec, e.t, row_number() OVER (PARTITION BY rec ORDER BY df, e.t) - 1 AS i, n FROM e JOIN f ON e.t = f.t),
         p AS (SELECT rec, t, n FROM o WHERE i <= n - ceil(n * 7 / 10)),
-        g AS (SELECT DISTINCT a.rec AS rec_a, b.rec AS rec_b FROM p a JOIN p b
+        h AS (SELECT DISTINCT a.rec AS rec_a, b.rec AS rec_b FROM p a JOIN p b
             ON a.t = b.t AND a.rec < b.rec AND a.n * 10 >= b.n * 7 AND b.n * 10 >= a.n * 7),
-        c AS (SELECT rec_a, rec_b FROM g JOIN k a ON a.rec = rec_a JOIN k b ON b.rec = rec_b
-            WHERE len(list_intersect(a.ws, b.ws)) * 17 >= 7 * (a.n + b.n))
-        SELECT rec_a, rec_b FROM c""",
+        c AS (SELECT rec_a, rec_b FROM h JOIN k a ON a.rec = rec_a JOIN k b ON b.rec = rec_b
+            WHERE len(list_intersect(a.ws, b.ws)) * 17 >= 7 * (a.n + b.n))"""
+
+
+ORACLE = {
+    "p2_found": f"""WITH {_KEYS}, f AS (SELECT ord, min(ord) OVER (PARTITION BY key) AS first_ord FROM keys)
+        SELECT first_ord, ord AS copy_ord FROM f WHERE ord <> first_ord""",
+    "p2_records": f"""WITH {_KEYS}, g AS (SELECT min(ord) AS ord, count(*) AS n_copies FROM keys GROUP BY key)
+        SELECT s.ord, s.id, s.text, g.n_copies FROM g JOIN sample_reqs s ON s.ord = g.ord""",
+    "p3_found": f"WITH {_similar('SELECT rec, ws, n FROM sets')} SELECT rec_a, rec_b FROM c",
+    "p3_groups": f"""WITH RECURSIVE {_similar('SELECT DISTINCT class_rec AS rec, ws, n FROM sets')},
+        l AS (SELECT rec_a AS x, rec_b AS y FROM c UNION ALL SELECT rec_b, rec_a FROM c),
+        r AS (SELECT x AS rec, y AS other FROM l UNION SELECT r.rec, l.y FROM r JOIN l ON r.other = l.x),
+        g AS (SELECT rec, least(rec, min(other)) AS group_rec FROM r GROUP BY rec),
+        d AS (SELECT x AS rec, count(*) AS n_links FROM l GROUP BY x)
+        SELECT s.rec, class_rec, coalesce(group_rec, class_rec) AS group_rec, coalesce(n_links, 0) AS n_links
+        FROM sets s LEFT JOIN g ON g.rec = class_rec LEFT JOIN d ON d.rec = class_rec""",
     "p1_found": """
         WITH RECURSIVE l AS (
             SELECT DISTINCT a AS x, b AS y FROM connections WHERE a <> b AND score >= 0.6
