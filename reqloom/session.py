@@ -76,7 +76,7 @@ class Scratch:
         path = f"{self.root}/{self._n:04d}-{name}"
         out = df.write.mode("overwrite").option("compression", "snappy")
         (out.partitionBy(by) if by else out).parquet(path)
-        out = self.spark.read.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
