@@ -2,8 +2,12 @@
 
 Each source has a weight schedule over training time, here a line through its target share whose slope all sources
 balance. Its integral is the source's cumulative demand; inverted at the cumulative tokens of a document it gives the
-document's position. Cumulative tokens come from a two-level prefix sum (buckets of bounded size, then their totals),
-so a source with most of the rows is never summed in one task. Documents are range-sorted by position.
+document's position. Cumulative tokens come from a two-level prefix sum (buckets, then their totals; about as many
+buckets as documents in one), so a source with most of the rows is never summed in one task. Documents are
+range-sorted by position.
+
+The mixture is as large as the corpus unless a size is given. Sources too small for their share, even repeated, are used
+up; the others share what is missing in proportion, and the report shows the shares reached.
 """
 
 from __future__ import annotations
@@ -14,12 +18,10 @@ from pyspark.sql import functions as F
 from reqloom.llm.tokens import n_tokens
 from reqloom.session import Scratch
 
-#: Documents of one bucket of the prefix sum, about.
+#: Documents of one bucket of the prefix sum, about; their square root where that is more.
 BUCKET = 5000
 #: Steepest weight: the share at the end of training is up to so much more than on average.
 STEEPEST = 0.5
-#: A document with more than this part of what is wanted of its source comes last where only a part of them is used.
-COARSE = 0.125
 
 
 def clean_source(c: Column) -> Column:
@@ -33,10 +35,10 @@ def sized_sources(documents: DataFrame, ranks: str | None = None) -> DataFrame:
 
 
 def plan(available: dict[str, int], targets: dict[str, tuple[float, int]], total: float | None = None) -> dict[str, float]:
-    """Tokens to use of each source.
+    """Tokens to use of each source in a mixture of ``total`` tokens (None: as many as the target sources hold).
 
-    ``total`` None: the largest mixture in which every source that has documents reaches its share. Else that size, or
-    as much as there is; sources that run out are used up and the others share what is missing in proportion.
+    Sources that run out are used up, each document as often as it may be, and the others share what is missing in
+    proportion to their targets; if all run out, the mixture is smaller.
     """
     supply = {s: available.get(s, 0) * repeats for s, (share, repeats) in targets.items() if share > 0 and repeats > 0}
     supply = {s: x for s, x in supply.items() if x > 0}
@@ -44,8 +46,7 @@ def plan(available: dict[str, int], targets: dict[str, tuple[float, int]], total
         return {}
     share = {s: targets[s][0] for s in supply}
     if total is None:
-        scale = min(x / share[s] for s, x in supply.items())
-        return {s: min(float(supply[s]), scale * share[s]) for s in supply}
+        total = sum(available[s] for s in supply)
     out: dict[str, float] = {}
     left, open_ = min(float(total), float(sum(supply.values()))), set(supply)
     while open_:
@@ -81,10 +82,10 @@ def mix(sized: DataFrame, targets: DataFrame, total: float | None = None, bucket
     """(position, doc_id, source, use_no, n_tokens), range-sorted by position (from 0 to 1).
 
     ``sized``: (doc_id unique, source, n_tokens > 0). ``targets``: (source, target_share, max_repeats), a handful of
-    rows. A document is used at most ``max_repeats`` times, ``use_no`` counting from 1, and never in part: a source's
-    last one is in if at least half of it is wanted. Where not all documents of a source are used, those with more than
-    COARSE of its wanted tokens come after the others, shorter ones first, for shares that are met closely. Sources without a target or without documents give no row; an
-    empty table gives an empty result.
+    rows. A document is used at most ``max_repeats`` times, ``use_no`` counting from 1, and never in part: of a source
+    used in part the documents come in an order drawn by hash, and its last one is in if at least half of it is wanted.
+    A document with less than half wanted even if it came first is passed over for others.
+    Sources without a target or without documents give no row; an empty table gives an empty result.
     """
     spark = sized.sparkSession
     scratch = Scratch(spark, "mixing")
@@ -93,26 +94,22 @@ def mix(sized: DataFrame, targets: DataFrame, total: float | None = None, bucket
     have = {r.source: r.n for r in docs.filter(F.col("source").isin(list(wanted))).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     used = plan(have, wanted, total)
     slope = slopes(used, wanted)
-    rows = [(s, used[s], slope[s], min(wanted[s][1], -int(-used[s] // have[s])), int(used[s] // have[s])) for s in used]
+    rows = [(s, used[s], slope[s], min(wanted[s][1], -int(-used[s] // have[s])), int(used[s] // have[s]), used[s] % have[s]) for s in used]
     # one row for each target, never more
-    plan_ = F.broadcast(spark.createDataFrame(rows, "source string, used double, slope double, uses int, whole int"))
+    plan_ = F.broadcast(spark.createDataFrame(rows, "source string, used double, slope double, uses int, whole int, part double"))
     n = docs.count()
-    buckets = max(1, -(-n // bucket))
+    buckets = max(1, -(-n // max(bucket, int(n**0.5))))
     each = docs.join(plan_, "source").withColumn("use_no", F.explode(F.sequence(F.lit(1), F.col("uses"))))
-    each = each.withColumn("h", F.xxhash64("doc_id", "use_no", F.lit(seed)))
-    long_ = (F.col("use_no") > F.col("whole")) & (F.col("n_tokens") > COARSE * F.col("used"))
-    # the shortest 1 / COARSE long ones hold more than all that is wanted, so none after them can be in
-    rank = F.row_number().over(Window.partitionBy("source", "use_no").orderBy("n_tokens", "h", "doc_id"))
-    late = each.filter(long_).withColumn("_rn", rank).filter(F.col("_rn") <= int(1 / COARSE) + 1)
-    each = each.filter(~long_).withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(buckets)))
-    each = each.unionByName(late.withColumn("bucket", F.lit(buckets).cast("long") + F.col("_rn")).drop("_rn"))
+    each = each.withColumn("h", F.xxhash64("doc_id", "use_no", F.lit(seed))).withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(buckets)))
+    # in a use that takes only a part of the source, a document of more than twice this part can be in at no place
+    each = each.filter((F.col("use_no") <= F.col("whole")) | (F.col("n_tokens") <= 2 * F.col("part")))
     keys = ["source", "use_no", "bucket"]
     sums = each.groupBy(*keys).agg(F.sum("n_tokens").alias("t"))
     by = Window.partitionBy("source").orderBy("use_no", "bucket")
     # a bucket's offset: what earlier uses and buckets of its source hold
     before = scratch.put(sums.withColumn("offset", F.sum("t").over(by) - F.col("t")).drop("t"), "offsets")
     inside = Window.partitionBy(*keys).orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    summed = each.withColumn("upto", F.sum("n_tokens").over(inside)).join(before, keys)
+    summed = each.withColumn("upto", F.sum("n_tokens").over(inside)).join(before.hint("merge"), keys)
     middle = F.col("offset") + F.col("upto") - F.col("n_tokens") / 2
     kept = summed.withColumn("x", middle / F.col("used")).filter("x <= 1")
     out = kept.select(position(F.col("x"), F.col("slope")).alias("position"), "doc_id", "source", "use_no", "n_tokens")

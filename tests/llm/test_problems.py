@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reqloom.llm import abuse, mixing, packing
+from reqloom.llm import abuse, mixing, neardup, packing
 from reqloom.llm.grouping import match_groups
 from reqloom.llm.neardup import near_groups, near_pairs
 from reqloom.llm.typography import collapse_typography, typographic_copies
@@ -66,6 +66,20 @@ def _near(texts):
     return {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(ok[a] & ok[b]) * 10 >= 7 * len(ok[a] | ok[b])}
 
 
+def test_near_duplicates_of_one_hot_cluster(spark, monkeypatch):
+    """Salted seeds and chunked classes give the same pairs."""
+    monkeypatch.setattr(neardup, "HOT_ROWS", 200)
+    monkeypatch.setattr(neardup, "CHUNK", 7)
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(30)]
+    texts = [(i, " ".join([*base[: 28 - i % 3], f"x{rnd.randrange(120)}", f"y{i % 4}"])) for i in range(400)]
+    texts += [(1000 + i, " ".join(rnd.sample([f"v{k}" for k in range(300)], 20))) for i in range(200)]
+    df = spark.createDataFrame(texts, "rec long, text string")
+    want = _near(texts)
+    got = [(r.rec_a, r.rec_b) for r in near_pairs(df).collect()]
+    assert len(got) == len(want) > 50_000 and set(got) == want
+
+
 @pytest.mark.parametrize("spread", [150, 2])
 def test_near_duplicates(spark, spread):
     rnd = random.Random(2)
@@ -131,6 +145,8 @@ def test_mixture(spark):
     assert rep["none"].used_tokens == 0 and rep["y"].most_uses <= 2
     assert mixing.mix(df.limit(0), t).count() == 0
     assert sum(mixing.plan({"a": 100, "b": 10}, {"a": (0.5, 1), "b": (0.5, 2)}, 200).values()) == pytest.approx(120)
+    # as large as the corpus: the small source is used twice, the others share what it lacks
+    assert mixing.plan({"a": 100, "b": 10, "c": 50}, {"a": (0.4, 2), "b": (0.4, 2), "c": (0.2, 3)}) == pytest.approx({"a": 140 * 2 / 3, "b": 20, "c": 140 / 3})
 
 
 def test_folding():
@@ -171,7 +187,7 @@ def test_mixture_of_long_documents(spark):
     docs = [(1, "x", 1500), (2, "x", 2000), (3, "x", 2208), (4, "y", 5000), (5, "y", 600), (6, "y", 90_000), (7, "z", 40_000), (8, "z", 70_000)] + [(100 + i, "s", 55) for i in range(100)]
     df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
     t = spark.createDataFrame([(s, 0.25, 1) for s in "xyzs"], "source string, target_share double, max_repeats int")
-    got = mixing.mix(df, t, bucket=10).toPandas()  # 5500 tokens wanted of each
+    got = mixing.mix(df, t, total=22_000, bucket=10).toPandas()  # 5500 tokens wanted of each
     assert set(got[got.source == "x"].doc_id) == {1, 2, 3} and set(got[got.source == "y"].doc_id) == {4, 5}
     assert len(got[got.source == "s"]) == 100 and not len(got[got.source == "z"])  # not half of either is wanted
     assert got.position.between(0, 1).all()
