@@ -1,130 +1,210 @@
-"""Semantic elements of requirement statements, as native columns.
+"""Semantic elements of requirement statements.
 
-Stages narrow a window over the text: leading condition, modality and subject, trailing condition, constraint, kind of
-function and actor, action core. Offsets are 0-based code points, ends exclusive. Every stage is a projection, so the
-whole extraction runs inside code generation and needs neither Python nor a shuffle.
+One Arrow kernel reads the texts of a batch and gives each its claims (spans of elements), the tiles that cover it and
+the kind of its function. As native columns the same stages nest so deep that the optimizer copies them many times and
+the generated code is too large to be compiled; here each text is read once, and only the text goes to Python. The
+kernel counts as non-deterministic, so no filter is moved below it and it never runs twice.
+
+Offsets are 0-based code points, ends exclusive.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reqloom.functions.text import SPACE, WORD, alternatives, marker_pattern
-from reqloom.functions.vocab import OBLIGATION, RUPP, Template
+from reqloom.functions.grammar import RUPP, Grammar
+from reqloom.functions.vocab import OBLIGATION, ROLES, TERMINAL_ROLES
 
 CLAIM = "struct<start:int,end:int,role:string,marker:string,kind:string>"
-
-
-def _sub(c: Column, start: Column, end: Column) -> Column:
-    """Text from start (0-based) to end."""
-    return F.substr(c, start + 1, F.greatest(end - start, F.lit(0)))
-
-
-def _find(c: Column, pattern: str | None) -> Column:
-    """0-based place of the first match, -1 for none."""
-    return F.regexp_instr(c, F.lit(pattern)) - 1 if pattern else F.lit(-1)
-
-
-def _group(c: Column, pattern: str | None, k: int) -> Column:
-    return F.regexp_extract(c, pattern, k) if pattern else F.lit("")
-
-
-def _trimmed(c: Column, start: Column) -> Column:
-    """(start, end) of the text ``c`` at ``start`` without white space around it."""
-    left = F.regexp_replace(c, rf"^[{SPACE}]+", "")
-    begin = start + F.length(c) - F.length(left)
-    return F.struct(begin.alias("start"), (begin + F.length(F.regexp_replace(left, rf"[{SPACE}]+\z", ""))).alias("end"))
-
-
-def _claim(span: Column, ok: Column, role: str, marker: Column | None = None, kind: Column | None = None) -> Column:
-    none = F.lit(None).cast("string")
-    made = F.struct(span["start"].alias("start"), span["end"].alias("end"), F.lit(role).alias("role"), (none if marker is None else marker).alias("marker"), (none if kind is None else kind).alias("kind"))
-    return F.when(ok & (span["end"] > span["start"]), made)
-
-
-def extract(df: DataFrame, t: Template = RUPP, text: str = "text") -> DataFrame:
-    """``df`` with ``claims`` (array of start, end, role, marker, kind in order of extraction) and ``function_type``.
-
-    A null text gives null claims, an empty one none. ``marker`` is the lower-cased marker of conditions and
+#: start, end, role, marker, kind
+Claim = tuple[int, int, str, "str | None", "str | None"]
+
+
+class _Reader:
+    """One text, read from left to right; ``claims`` grows in the order of discovery."""
+
+    def __init__(self, text: str, g: Grammar):
+        self.text, self.g, self.claims = text, g, []
+
+    def claim(self, start: int, end: int, role: str, marker: str | None = None, kind: str | None = None) -> None:
+        """Claim a span without the white space around it; an empty one is none."""
+        body = self.text[start:end]
+        start += len(body) - len(body.lstrip())
+        body = body.strip()
+        if body:
+            self.claims.append((start, start + len(body), role, marker, kind))
+
+    def opening(self) -> tuple[int, int]:
+        """Leading condition; gives where the subject begins and where the search for a modal starts."""
+        m = self.g.patterns["lead"].match(self.text)
+        if not m:
+            return 0, 0
+        comma = self.text.find(",", m.end())
+        search = comma + 1 if comma >= 0 else m.end()
+        found = self.g.patterns["modal"].search(self.text[search:])
+        until = search + found.start() if found else len(self.text)
+        stop = self.text.rfind(",", m.end(), until)
+        if stop < 0:
+            then = self.g.patterns["then"].search(self.text[m.end() : until])
+            if not then:
+                return 0, search
+            stop = m.end() + then.start()
+        self.claim(m.start(1), stop, "CONDITION", m.group(1).lower(), "pre-condition")
+        begin = stop + (self.text[stop] == ",")
+        then = self.g.patterns["skip_then"].match(self.text[begin:])
+        return begin + (then.end() if then else 0), search
+
+    def ending(self, window: str, at: int, cue: str, role: str, kind: str | None) -> str:
+        """Cut what a cue opens off the end of the window at ``at``; nothing may be cut off whole."""
+        m = self.g.patterns[cue].search(window)
+        if not m or not m.start():
+            return window
+        self.claim(at + m.start(), at + len(window), role, m.group().lower(), kind)
+        return window[: m.start()]
+
+    def action(self, start: int, end: int, kind: str) -> None:
+        """A process and, from the first noun marker on, its object."""
+        body = self.text[start:end]
+        start += len(body) - len(body.lstrip())
+        body = body.strip()
+        noun = self.g.patterns["noun"].search(body)
+        cut = noun.start() if noun and noun.start() else len(body)
+        self.claim(start, start + cut, "PROCESS", None, kind)
+        self.claim(start + cut, start + len(body), "OBJECT")
+
+    def read(self) -> str:
+        """Fill ``claims``; gives the kind of function."""
+        p = self.g.patterns
+        begin, search = self.opening()
+        modal = p["modal"].search(self.text[search:])
+        at = begin
+        if modal:
+            self.claim(search + modal.start(), search + modal.end(), "MODALITY", None, OBLIGATION.get(modal.group().lower(), "unspecified"))
+            self.claim(begin, search + modal.start(), "SUBJECT")
+            at = search + modal.end()
+        window = self.text[at:].rstrip(".;\n\t ")
+        window = self.ending(window, at, "condition", "CONDITION", "post-condition")
+        window = self.ending(window, at, "limit", "CONSTRAINT", None)
+        actor, able = p["actor"].search(window), p["interface"].search(window)
+        if actor:
+            kind, core = "user interaction", actor.end()
+            self.claim(at + actor.start(1), at + actor.end(1), "ACTOR")
+        elif able:
+            kind, core = "interface requirement", able.end()
+        else:
+            kind, core = "autonomous activity", 0
+        body = window[core:]
+        core += len(body) - len(body.lstrip())
+        second = p["next_action"].search(body.strip())
+        end = at + len(window)
+        if second:
+            self.action(at + core, at + core + second.start(), kind)
+            self.action(at + core + second.end(), end, kind)
+        else:
+            self.action(at + core, end, kind)
+        return kind
+
+
+def cover(claims: Iterable[Claim], length: int) -> list[Claim]:
+    """Tiles of a text: its claims (of overlapping ones the first, of those the longest), and GLUE between them."""
+    out, upto = [], 0
+    for c in sorted(claims, key=lambda c: (c[0], -c[1])):
+        if c[0] >= upto:
+            if c[0] > upto:
+                out.append((upto, c[0], "GLUE", None, None))
+            out.append(c)
+            upto = c[1]
+    if upto < length:
+        out.append((upto, length, "GLUE", None, None))
+    return out
+
+
+_STRUCT = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("role", pa.string()), ("marker", pa.string()), ("kind", pa.string())])
+
+
+def _lists(rows: list[list[Claim] | None]) -> pa.Array:
+    """Rows of claims as one list array; None stays null."""
+    flat = [c for r in rows if r for c in r]
+    cols = list(zip(*flat, strict=True)) if flat else [()] * 5
+    values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _STRUCT, strict=True)], fields=list(_STRUCT))
+    offsets, n = [0], 0
+    for r in rows:
+        n += len(r or ())
+        offsets.append(n)
+    starts = pa.array([None if r is None else o for r, o in zip(rows, offsets[:-1], strict=True)] + [n], pa.int32())
+    return pa.ListArray.from_arrays(starts, values)
+
+
+def extract(df: DataFrame, g: Grammar = RUPP, text: str = "text") -> DataFrame:
+    """``df`` with ``claims`` (array of start, end, role, marker, kind in order of extraction), ``tiles`` and
+    ``function_type``.
+
+    A null text gives nulls, an empty one no claim and no tile. ``marker`` is the lower-cased marker of conditions and
     constraints, ``kind`` a condition's place, a modality's obligation or a process's function type.
     """
-    keep = df.columns
-    c = F.col(text)
-    cond, modal, limit, det = (marker_pattern(x) for x in (t.conditions, t.modals, t.constraints, t.determiners))
-    lead = rf"(?i)^[{SPACE}]*({alternatives(t.conditions)})(?![{WORD}'])" if t.conditions else None
-    then = rf"(?i)(?<![{WORD}'])then(?![{WORD}'])"
-    conj = alternatives(t.conjunctions)
-    split = rf"(?i)[{SPACE}]+(?:{conj})[{SPACE}]+(?!(?:{alternatives(t.determiners)})(?![{WORD}']))(?=[{WORD}'])" if t.conjunctions else None
-    ui = rf"(?i)(?<![{WORD}'])((?:{alternatives(t.ui_open)})[{SPACE}]+)(.+?)([{SPACE}]+(?:{alternatives(t.ui_bridge)}))(?![{WORD}'])" if t.ui_open and t.ui_bridge else None
-    iface = marker_pattern(t.interface)
-
-    # leading condition and modality
-    s = df.withColumns({"_n": F.length(c), "_lead": _group(c, lead, 0), "_lm": _group(c, lead, 1)})
-    s = s.withColumn("_ll", F.length("_lead"))
-    s = s.withColumn("_comma", F.when(F.col("_ll") > 0, F.expr(f"locate(',', `{text}`, _ll + 1)") - 1).otherwise(-1))
-    s = s.withColumn("_from", F.when(F.col("_ll") == 0, 0).when(F.col("_comma") >= 0, F.col("_comma") + 1).otherwise(F.col("_ll")))
-    s = s.withColumn("_rest", _sub(c, F.col("_from"), F.col("_n")))
-    s = s.withColumns({"_mi": _find(F.col("_rest"), modal), "_mw": _group(F.col("_rest"), modal, 1)})
-    s = s.withColumn("_ms", F.when(F.col("_mi") >= 0, F.col("_from") + F.col("_mi")).otherwise(F.col("_n")))
-    s = s.withColumn("_gap", _sub(c, F.col("_ll"), F.col("_ms")))
-    back = F.locate(",", F.reverse("_gap"))
-    s = s.withColumn("_stop", F.when(F.col("_ll") == 0, -1).when(back > 0, F.col("_ll") + F.length("_gap") - back).when(F.col("_comma") >= 0, F.col("_comma")).otherwise(F.when(_find(F.col("_gap"), then) >= 0, F.col("_ll") + _find(F.col("_gap"), then)).otherwise(-1)))
-    after = F.when(F.substr(c, F.col("_stop") + 1, F.lit(1)) == ",", F.col("_stop") + 1).otherwise(F.col("_stop"))
-    s = s.withColumn("_w0", F.when(F.col("_stop") >= 0, after).otherwise(0))
-    lead_then = F.length(F.regexp_extract(_sub(c, F.col("_w0"), F.col("_n")), rf"(?i)^[{SPACE}]*then(?![{WORD}'])", 0))
-    s = s.withColumn("_w", F.when(F.col("_stop") >= 0, F.col("_w0") + lead_then).otherwise(0))
-    cs = F.col("_ll") - F.length("_lm")
-    has_mod = F.col("_mi") >= 0
-    s = s.withColumns({"_cond": _trimmed(_sub(c, cs, F.col("_stop")), cs), "_subj": _trimmed(_sub(c, F.col("_w"), F.col("_ms")), F.col("_w")), "_p": F.when(has_mod, F.col("_ms") + F.length("_mw")).otherwise(F.col("_w"))})
-
-    # trailing condition, then constraint, each cut off the window
-    s = s.withColumn("_x", F.regexp_replace(_sub(c, F.col("_p"), F.col("_n")), r"[.;\n\t ]+\z", ""))
-    s = s.withColumn("_ti", _find(F.col("_x"), cond))
-    s = s.withColumns({"_tm": _group(F.col("_x"), cond, 1), "_tail": _trimmed(_sub(F.col("_x"), F.col("_ti"), F.length("_x")), F.col("_p") + F.col("_ti")), "_y": F.when(F.col("_ti") > 0, F.substr("_x", F.lit(1), F.col("_ti"))).otherwise(F.col("_x"))})
-    s = s.withColumn("_ki", _find(F.col("_y"), limit))
-    s = s.withColumns({"_km": _group(F.col("_y"), limit, 1), "_limit": _trimmed(_sub(F.col("_y"), F.col("_ki"), F.length("_y")), F.col("_p") + F.col("_ki")), "_z": F.when(F.col("_ki") > 0, F.substr("_y", F.lit(1), F.col("_ki"))).otherwise(F.col("_y"))})
-
-    # kind of function, actor, and where the action starts
-    s = s.withColumns({"_ui": _find(F.col("_z"), ui), "_if": _find(F.col("_z"), iface)})
-    open_ = F.col("_ui") + F.length(_group(F.col("_z"), ui, 1))
-    kind = F.when(F.col("_ui") >= 0, "user interaction").when(F.col("_if") >= 0, "interface requirement").otherwise("autonomous activity")
-    start = F.when(F.col("_ui") >= 0, F.col("_ui") + F.length(_group(F.col("_z"), ui, 0))).when(F.col("_if") >= 0, F.col("_if") + F.length(_group(F.col("_z"), iface, 0))).otherwise(0)
-    s = s.withColumns({"function_type": kind, "_who": _trimmed(_group(F.col("_z"), ui, 2), F.col("_p") + open_), "_as": start})
-
-    # action core: one or two actions, each a process and perhaps an object
-    s = s.withColumn("_act", _trimmed(_sub(F.col("_z"), F.col("_as"), F.length("_z")), F.col("_p") + F.col("_as")))
-    s = s.withColumn("_a", _sub(c, F.col("_act.start"), F.col("_act.end")))
-    s = s.withColumns({"_si": _find(F.col("_a"), split), "_sl": F.length(_group(F.col("_a"), split, 0))})
-    two = F.col("_si") >= 0
-    one_end = F.when(two, F.col("_si")).otherwise(F.length("_a"))
-    a0 = F.col("_act.start")
-    s = s.withColumns({"_a1": _trimmed(_sub(F.col("_a"), F.lit(0), one_end), a0), "_a2": F.when(two, _trimmed(_sub(F.col("_a"), F.col("_si") + F.col("_sl"), F.length("_a")), a0 + F.col("_si") + F.col("_sl")))})
-    claims = []
-    for k in ("1", "2"):
-        span = F.col(f"_a{k}")
-        s = s.withColumn(f"_t{k}", _sub(c, span["start"], span["end"]))
-        s = s.withColumn(f"_d{k}", _find(F.col(f"_t{k}"), det))
-        cut = F.col(f"_d{k}")
-        s = s.withColumns({f"_p{k}": F.when(cut > 0, _trimmed(_sub(F.col(f"_t{k}"), F.lit(0), cut), span["start"])).otherwise(span), f"_o{k}": F.when(cut > 0, _trimmed(_sub(F.col(f"_t{k}"), cut, F.length(f"_t{k}")), span["start"] + cut))})
-        there = span.isNotNull()
-        claims += [_claim(F.col(f"_p{k}"), there, "PROCESS", kind=F.col("function_type")), _claim(F.col(f"_o{k}"), there & (cut > 0), "OBJECT")]
-
-    force = F.create_map(*(F.lit(x) for kv in OBLIGATION.items() for x in kv))
-    mod_span = F.struct(F.col("_ms").alias("start"), (F.col("_ms") + F.length("_mw")).alias("end"))
-    made = F.array(
-        _claim(F.col("_cond"), F.col("_stop") >= 0, "CONDITION", F.lower("_lm"), F.lit("pre-condition")),
-        _claim(mod_span, has_mod, "MODALITY", kind=F.coalesce(force[F.lower("_mw")], F.lit("unspecified"))),
-        _claim(F.col("_subj"), has_mod, "SUBJECT"),
-        _claim(F.col("_tail"), F.col("_ti") > 0, "CONDITION", F.lower("_tm"), F.lit("post-condition")),
-        _claim(F.col("_limit"), F.col("_ki") > 0, "CONSTRAINT", F.lower("_km")),
-        _claim(F.col("_who"), F.col("_ui") >= 0, "ACTOR"),
-        *claims,
-    )
-    return s.select(*keep, F.when(c.isNotNull(), F.array_compact(made)).alias("claims"), "function_type")
 
+    @F.arrow_udf(f"struct<claims:array<{CLAIM}>,tiles:array<{CLAIM}>,function_type:string>")
+    def kernel(texts: pa.Array) -> pa.Array:
+        claims, tiles, kinds = [], [], []
+        for t in texts.to_pylist():
+            if t is None:
+                for out in (claims, tiles, kinds):
+                    out.append(None)
+                continue
+            r = _Reader(t, g)
+            kinds.append(r.read())
+            claims.append(r.claims)
+            tiles.append(cover(r.claims, len(t)))
+        return pa.StructArray.from_arrays([_lists(claims), _lists(tiles), pa.array(kinds, pa.string())], names=["claims", "tiles", "function_type"])
+
+    rest = [c for c in df.columns if c not in ("claims", "tiles", "function_type")]
+    got = df.select(*rest, kernel.asNondeterministic()(F.col(text)).alias("_found"))
+    return got.select(*rest, "_found.claims", "_found.tiles", "_found.function_type")
+
+
+def extract_with(df: DataFrame, find: Callable[[str], Iterable[dict]], text: str = "text", roles: tuple[str, ...] = ROLES) -> DataFrame:
+    """``df`` with ``claims``, ``tiles`` and ``error`` from an extractor of one's own.
+
+    ``find`` takes a text and gives dicts with start, end, role and perhaps marker and kind. Claims are clamped to the
+    text, empty, malformed and unknown ones dropped. Where it raises, ``error`` holds the message, claims are empty and
+    the whole text is one GLUE tile; else ``error`` is ''. A null text gives nulls and no error.
+    """
 
-def sanitise(claims: Column, length: Column, roles: tuple[str, ...]) -> Column:
+    def claims_of(t: str) -> list[Claim]:
+        out = []
+        for c in find(t):
+            a, b, role = c.get("start"), c.get("end"), c.get("role")
+            if isinstance(a, int) and isinstance(b, int) and role in roles:
+                a, b = min(max(a, 0), len(t)), min(max(b, 0), len(t))
+                if b > a:
+                    out.append((a, b, role, c.get("marker"), c.get("kind")))
+        return out
+
+    @F.arrow_udf(f"struct<claims:array<{CLAIM}>,tiles:array<{CLAIM}>,error:string>")
+    def kernel(texts: pa.Array) -> pa.Array:
+        claims, tiles, errors = [], [], []
+        for t in texts.to_pylist():
+            error, got = "", None
+            if t is not None:
+                try:
+                    got = claims_of(t)
+                except Exception as e:  # noqa: BLE001 - an extractor's failure is a value of the row
+                    error, got = f"{type(e).__name__}: {e}", []
+            claims.append(got)
+            tiles.append(None if t is None else cover(got, len(t)))
+            errors.append(error)
+        return pa.StructArray.from_arrays([_lists(claims), _lists(tiles), pa.array(errors, pa.string())], names=["claims", "tiles", "error"])
+
+    rest = [c for c in df.columns if c not in ("claims", "tiles", "error")]
+    got = df.select(*rest, kernel.asNondeterministic()(F.col(text)).alias("_found"))
+    return got.select(*rest, "_found.claims", "_found.tiles", "_found.error")
+
+
+def sanitise(claims: Column, length: Column, roles: tuple[str, ...] = TERMINAL_ROLES) -> Column:
     """Claims clamped to the text; empty ones and unknown roles are dropped. Claims are arrays of CLAIM structs."""
 
     def clamp(x: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reqloom.functions import vocab
 from reqloom.functions.text import SPACE, alternatives, strip
-from reqloom.operators.tiling import actions, elements, generated, terminals
+from reqloom.operators.tiling import elements, generated, terminals, with_actions
 
 _WEAK = rf"(?<![\w-])({alternatives(vocab.WEAK_WORDS)})(?![\w-])"
 
@@ -32,12 +32,11 @@ def smells(text: Column) -> dict[str, Column]:
 def requirement_type(text: Column) -> Column:
     """The class with most keyword hits (substrings), the first of those that tie; functional without any."""
     low = F.lower(text)
-    hits = {t: sum(((F.length(low) - F.length(F.replace(low, F.lit(k), F.lit("")))) / len(k) for k in keys), F.lit(0)) for t, keys in vocab.TYPE_KEYWORDS.items()}
-    top = F.greatest(*hits.values())
-    out = F.lit("functional")
-    for t in reversed(hits):
-        out = F.when(hits[t] == top, t).otherwise(out)
-    return F.when(top > 0, out).otherwise("functional")
+    hits = lambda keys: sum(((F.length(low) - F.length(F.replace(low, F.lit(k), F.lit("")))) / len(k) for k in keys), F.lit(0.0))
+    # made once: the most hits, then the earliest class
+    ranked = F.array(*(F.struct(hits(keys).alias("hits"), F.lit(-i).alias("turn"), F.lit(t).alias("name")) for i, (t, keys) in enumerate(vocab.TYPE_KEYWORDS.items())))
+    best = F.array_max(ranked)
+    return F.element_at(F.transform(F.array(best), lambda x: F.when(x["hits"] > 0, x["name"]).otherwise("functional")), 1)
 
 
 def ears_pattern(claims: Column) -> Column:
@@ -107,14 +106,12 @@ def kpis(tiled: DataFrame, key: str = "ord", text: str = "text") -> DataFrame:
     real = F.filter("tiles", lambda x: (x["role"] != "GLUE") & (strip(F.substr(c, x["start"] + 1, x["end"] - x["start"])) != ""))
     chars = F.aggregate(real, F.lit(0), lambda acc, x: acc + x["end"] - x["start"])
     force = F.get(F.filter(real, lambda x: x["role"] == "MODALITY"), F.lit(0))["kind"]
-    terms = terminals(tiled, key, text)
-    acts = actions(terms, tiled, key, text)
     words = F.filter(F.split(c, rf"[{SPACE}]+"), lambda w: w != "")
-    base = tiled.select(
+    return with_actions(tiled, text).select(
         key, F.size(real).cast("long").alias("n_elements"), F.when(F.length(c) > 0, F.round(100.0 * chars / F.length(c), 1)).otherwise(0.0).alias("coverage_pct"),
         score.cast("long").alias("quality_score"), F.coalesce(force, F.lit("none")).alias("obligation"), F.size(words).cast("long").alias("n_words"),
+        "n_actions", F.coalesce("operator", F.lit("")).alias("operator"),
     )
-    return base.join(acts, key, "left").select(*base.columns, F.coalesce("n_actions", F.lit(0)).alias("n_actions"), F.coalesce("operator", F.lit("")).alias("operator"))
 
 
 def semantic_rows(tiled: DataFrame, key: str = "ord", text: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reqloom.functions.text import strip
@@ -24,17 +24,31 @@ def tiles(text: Column, claims: Column) -> Column:
 
 
 def with_tiles(df: DataFrame, text: str = "text") -> DataFrame:
+    """``tiles`` from ``claims`` of one's own; ``extract`` gives both."""
     return df.withColumn("tiles", tiles(F.col(text), F.col("claims")))
 
 
+def _core(x: Column) -> Column:
+    return x["role"].isin("PROCESS", "OBJECT")
+
+
+def action_cells(tiles_: Column) -> Column:
+    """The tiles with the number of their action (null outside of actions): a process starts one, a leading object too."""
+    core = F.filter(tiles_, _core)
+    lead = F.when(F.get(core, F.lit(0))["role"] == "OBJECT", 1).otherwise(0)
+    upto = lambda i: F.size(F.filter(F.slice(tiles_, 1, i + 1), lambda y: y["role"] == "PROCESS"))
+    number = lambda x, i: F.when(_core(x), (upto(i) + lead).cast("long"))
+    fields = lambda x: [x[f].alias(f) for f in ("start", "end", "role", "marker", "kind")]
+    return F.transform(tiles_, lambda x, i: F.struct(*fields(x), number(x, i).alias("action")))
+
+
 def terminals(df: DataFrame, key: str = "ord", text: str = "text") -> DataFrame:
-    """(key, pos from 1, node_id, role, text, marker, kind, start, end): one row for each tile."""
-    # the outer form: from the plain one a filter on the array would be inferred, and pushed below all stages that make it
-    each = df.select(key, F.col(text).alias("_t"), F.posexplode_outer("tiles").alias("pos", "x")).filter("pos IS NOT NULL")
+    """(key, pos from 1, node_id, role, text, marker, kind, start, end, action): one row for each tile."""
+    each = df.select(key, F.col(text).alias("_t"), F.posexplode_outer(action_cells(F.col("tiles"))).alias("pos", "x")).filter("pos IS NOT NULL")
     words = F.substr("_t", F.col("x.start") + 1, F.col("x.end") - F.col("x.start"))
     pos = (F.col("pos") + 1).cast("long")
     node = F.concat(F.lower("x.role"), F.lit("_"), pos)
-    return each.select(key, pos.alias("pos"), node.alias("node_id"), F.col("x.role").alias("role"), words.alias("text"), F.col("x.marker").alias("marker"), F.col("x.kind").alias("kind"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
+    return each.select(key, pos.alias("pos"), node.alias("node_id"), F.col("x.role").alias("role"), words.alias("text"), F.col("x.marker").alias("marker"), F.col("x.kind").alias("kind"), F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.action").alias("action"))
 
 
 def generated(text: Column, tiles_: Column) -> Column:
@@ -47,76 +61,85 @@ def elements(terms: DataFrame) -> DataFrame:
     return terms.filter((F.col("role") != "GLUE") & (strip(F.col("text")) != ""))
 
 
-def action_numbers(terms: DataFrame, key: str = "ord") -> DataFrame:
-    """PROCESS and OBJECT terminals with the number of their action: a process starts one, a leading object too."""
-    core = terms.filter(F.col("role").isin("PROCESS", "OBJECT"))
-    by = Window.partitionBy(key).orderBy("pos")
-    starts = (F.col("role") == "PROCESS") | (F.row_number().over(by) == 1)
-    return core.withColumn("_s", starts.cast("int")).withColumn("action", F.sum("_s").over(by)).drop("_s")
+def action_numbers(terms: DataFrame) -> DataFrame:
+    """PROCESS and OBJECT terminals, which have the number of their ``action``."""
+    return terms.filter("action IS NOT NULL")
+
+
+def with_actions(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` (with ``tiles``) and ``cells`` (tiles with action), ``n_actions``, and ``operator``: AND or OR from the text
+    between the first two actions, null with fewer."""
+    d = df.withColumn("cells", action_cells(F.col("tiles")))
+    of = lambda n, f: F.transform(F.filter("cells", lambda x: x["action"] == n), lambda x: x[f])
+    n = F.coalesce(F.array_max(F.transform("cells", lambda x: x["action"])), F.lit(0).cast("long"))
+    to, at = F.array_max(of(1, "end")), F.array_min(of(2, "start"))
+    gap = F.lower(F.substr(F.col(text), to + 1, F.greatest(at - to, F.lit(0))))
+    op = F.when(n > 1, F.when(F.concat(F.lit(" "), strip(gap), F.lit(" ")).contains(" or "), "OR").otherwise("AND"))
+    return d.withColumns({"n_actions": n, "operator": op})
+
+
+def actions(df: DataFrame, key: str = "ord", text: str = "text") -> DataFrame:
+    """(key, n_actions, operator) of statements with at least one action."""
+    return with_actions(df, text).select(key, "n_actions", "operator").filter("n_actions > 0")
+
+
+def _name(role: str, number: Column) -> Column:
+    return F.concat(F.lit(role + "_"), number.cast("string"))
+
+
+def _node(x: Column, i: Column) -> Column:
+    return F.concat(F.lower(x["role"]), F.lit("_"), (i + 1).cast("string"))
+
 
+def _numbers(n: Column) -> Column:
+    """1 to n; empty for 0."""
+    return F.when(n > 0, F.sequence(F.lit(1).cast("long"), n.cast("long"))).otherwise(F.array().cast("array<bigint>"))
 
-def actions(terms: DataFrame, statements: DataFrame, key: str = "ord", text: str = "text") -> DataFrame:
-    """(key, n_actions, operator): number of actions, and AND or OR from the text between the first two."""
-    numbered = action_numbers(terms, key).groupBy(key).agg(
-        F.max("action").alias("n_actions"),
-        F.max(F.when(F.col("action") == 1, F.col("end"))).alias("_to"),
-        F.min(F.when(F.col("action") == 2, F.col("start"))).alias("_at"),
-    )
-    gap = F.lower(F.substr(F.col(text), F.col("_to") + 1, F.greatest(F.col("_at") - F.col("_to"), F.lit(0))))
-    op = F.when(F.col("n_actions") > 1, F.when(F.concat(F.lit(" "), strip(gap), F.lit(" ")).contains(" or "), "OR").otherwise("AND"))
-    return numbered.join(statements.select(key, text), key).select(key, F.col("n_actions").cast("long").alias("n_actions"), op.alias("operator"))
 
+def nodes(df: DataFrame, key: str = "ord", text: str = "text") -> DataFrame:
+    """(key, node_id, role, text): a statement's tiles, the root, and the actions and operator above them.
 
-def nodes(terms: DataFrame, acts: DataFrame, statements: DataFrame, key: str = "ord") -> DataFrame:
-    """(key, node_id, role, text): terminals, the root, and the actions and operator above them."""
-    counts = terms.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    base = statements.select(key).join(counts, key, "left").join(acts, key, "left").select(key, F.coalesce("_n", F.lit(0)).alias("_n"), F.coalesce("n_actions", F.lit(0)).alias("_k"))
-    empty = F.lit("")
-    root = base.select(key, F.concat(F.lit("root_"), F.col("_n") + 1).alias("node_id"), F.lit("ROOT").alias("role"), empty.alias("text"))
-    act = base.filter("_k > 0").select(key, "_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k"))).alias("i"))
-    act = act.select(key, F.concat(F.lit("action_"), F.col("_n") + 1 + F.col("i")).alias("node_id"), F.lit("ACTION").alias("role"), empty.alias("text"))
-    op = base.filter("_k > 1").select(key, F.concat(F.lit("operator_"), F.col("_n") + 2 + F.col("_k")).alias("node_id"), F.lit("OPERATOR").alias("role"), empty.alias("text"))
-    return terms.select(key, "node_id", "role", "text").unionByName(root).unionByName(act).unionByName(op)
+    All rows of a statement come from its own row: no shuffle. ``df`` has ``tiles``; a null text gives only the root.
+    """
+    d = with_actions(df, text)
+    n, k = F.greatest(F.size("cells"), F.lit(0)), F.col("n_actions")
+    node = lambda name, role, words=F.lit(""): F.struct(name.alias("node_id"), F.lit(role).alias("role") if isinstance(role, str) else role.alias("role"), words.alias("text"))
+    tiles_ = F.transform("cells", lambda x, i: node(_node(x, i), x["role"], F.substr(F.col(text), x["start"] + 1, x["end"] - x["start"])))
+    acts = F.transform(_numbers(k), lambda i: node(_name("action", n + 1 + i), "ACTION"))
+    none = F.array().cast("array<struct<node_id:string,role:string,text:string>>")
+    ops = F.when(k > 1, F.array(node(_name("operator", n + 2 + k), "OPERATOR"))).otherwise(none)
+    return d.select(key, F.inline(F.concat(F.coalesce(tiles_, none), F.array(node(_name("root", n + 1), "ROOT")), acts, ops)))
 
 
 #: Relation from the root to a terminal, by role.
 _ROOT_RELS = {"CONDITION": "HAS_CONDITION", "SUBJECT": "HAS_SUBJECT", "MODALITY": "HAS_MODALITY"}
 #: Relation from the first action (or the root) to a terminal, by role.
 _HEAD_RELS = {"ACTOR": "HAS_ACTOR", "DETAILS": "HAS_DETAILS", "CONSTRAINT": "HAS_CONSTRAINT"}
+_ACTION_RELS = {"PROCESS": "HAS_PROCESS", "OBJECT": "ACTS_ON"}
 
 
 def _by_role(role: Column, rels: dict[str, str]) -> Column:
-    out = F.lit(None).cast("string")
-    for r, rel in rels.items():
-        out = F.when(role == r, rel).otherwise(out)
-    return out
-
-
-def edges(terms: DataFrame, acts: DataFrame, key: str = "ord") -> DataFrame:
-    """(key, src, dst, rel) of the statements' graphs; all of a statement's rows meet in one shuffle by key."""
-    by = Window.partitionBy(key)
-    n = F.count(F.lit(1)).over(by)
-    t = terms.select(key, "pos", "node_id", "role", F.lead("node_id").over(by.orderBy("pos")).alias("_next"), n.alias("_n"))
-    t = t.join(acts.select(key, F.col("n_actions").alias("_k")), key, "left").withColumn("_k", F.coalesce("_k", F.lit(0)))
-    core = action_numbers(terms, key).select(key, "pos", "action")
-    t = t.join(core, [key, "pos"], "left")
-    root = F.concat(F.lit("root_"), F.col("_n") + 1)
-    action = lambda i: F.concat(F.lit("action_"), F.col("_n") + 1 + i)
-    head = F.when(F.col("_k") > 0, action(F.lit(1))).otherwise(root)
-    op = F.concat(F.lit("operator_"), F.col("_n") + 2 + F.col("_k"))
-    out = F.struct  # (src, dst, rel)
-    made = F.array(
-        out(F.col("node_id").alias("src"), F.col("_next").alias("dst"), F.when(F.col("_next").isNotNull(), "NEXT").alias("rel")),
-        out(root.alias("src"), F.col("node_id").alias("dst"), _by_role(F.col("role"), _ROOT_RELS).alias("rel")),
-        out(head.alias("src"), F.col("node_id").alias("dst"), _by_role(F.col("role"), _HEAD_RELS).alias("rel")),
-        out(action(F.col("action")).alias("src"), F.col("node_id").alias("dst"), F.when(F.col("role") == "PROCESS", "HAS_PROCESS").when(F.col("role") == "OBJECT", "ACTS_ON").alias("rel")),
-    )
-    below = t.select(key, F.explode(made).alias("e")).select(key, "e.src", "e.dst", "e.rel").filter("rel IS NOT NULL")
-    one = t.filter("pos = 1 AND _k > 0").select(key, "_n", "_k")
-    each = one.select(key, "_n", "_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k"))).alias("i"))
-    first = one.select(key, root.alias("src"), F.when(F.col("_k") == 1, action(F.lit(1))).otherwise(op).alias("dst"), F.lit("HAS_ACTION").alias("rel"))
-    parts = each.filter("_k > 1").select(key, op.alias("src"), action(F.col("i")).alias("dst"), F.lit("OPERAND").alias("rel"))
-    return below.unionByName(first).unionByName(parts)
+    return F.create_map(*(F.lit(x) for kv in rels.items() for x in kv))[role]
+
+
+def edges(df: DataFrame, key: str = "ord", text: str = "text") -> DataFrame:
+    """(key, src, dst, rel) of the statements' graphs, each from its own row: no shuffle. ``df`` has ``tiles``."""
+    d = with_actions(df, text).filter(F.size("cells") > 0)
+    n, k = F.size("cells"), F.col("n_actions")
+    root = _name("root", n + 1)
+    action = lambda i: _name("action", n + 1 + i)
+    head = F.when(k > 0, action(F.lit(1))).otherwise(root)
+    op = _name("operator", n + 2 + k)
+    edge = lambda a, b, r: F.struct(a.alias("src"), b.alias("dst"), (F.lit(r) if isinstance(r, str) else r).alias("rel"))
+    follows = F.transform("cells", lambda x, i: edge(_node(x, i), _node(F.get("cells", i + 1), i + 1), F.when(i + 1 < n, F.lit("NEXT"))))
+    below = [
+        F.transform("cells", lambda x, i: edge(root, _node(x, i), _by_role(x["role"], _ROOT_RELS))),
+        F.transform("cells", lambda x, i: edge(head, _node(x, i), _by_role(x["role"], _HEAD_RELS))),
+        F.transform("cells", lambda x, i: edge(action(x["action"]), _node(x, i), _by_role(x["role"], _ACTION_RELS))),
+    ]
+    first = F.array(edge(root, F.when(k == 1, action(F.lit(1))).otherwise(op), F.when(k > 0, F.lit("HAS_ACTION"))))
+    parts = F.transform(_numbers(F.when(k > 1, k).otherwise(0)), lambda i: edge(op, action(i), "OPERAND"))
+    return d.select(key, F.inline(F.filter(F.concat(follows, *below, first, parts), lambda e: e["rel"].isNotNull())))
 
 
 def integrity_errors(nodes_: DataFrame, edges_: DataFrame, order: DataFrame, key: str = "ord") -> DataFrame:

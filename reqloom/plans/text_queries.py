@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reqloom.functions import vocab
+from reqloom.functions import grammar, vocab
 from reqloom.functions.text import escape_dot, escape_mermaid, escape_turtle, escape_xml, is_blank, normal_req_id, normal_text, safe_name, strip
 from reqloom.operators import quality as q
 from reqloom.operators import export, split, tiling
@@ -18,7 +18,7 @@ def statements(spark, d):
 
 
 def tiled(spark, d):
-    return tiling.with_tiles(extract(statements(spark, d)))
+    return extract(statements(spark, d))
 
 
 def terms(spark, d):
@@ -75,25 +75,17 @@ def roundtrip_all_text_tables(spark, d):
     texts = statements(spark, d).select(F.lit("sample_reqs").alias("source"), "text")
     for name, col in (("trace_items", "req_text"), ("documents", "text"), ("shared_elements", "text")):
         texts = texts.unionByName(table(spark, d, name).filter(F.col(col).isNotNull()).select(F.lit(name).alias("source"), F.col(col).alias("text")))
-    t = tiling.with_tiles(extract(texts))
+    t = extract(texts)
     ok = (tiling.generated(F.col("text"), F.col("tiles")) == F.col("text")).cast("long")
     return t.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(ok).alias("n_ok"))
 
 
-def _graph(spark, d):
-    base = tiled(spark, d)
-    t = tiling.terminals(base)
-    return base, t, tiling.actions(t, base)
-
-
 def q_nodes(spark, d):
-    base, t, a = _graph(spark, d)
-    return tiling.nodes(t, a, base)
+    return tiling.nodes(tiled(spark, d))
 
 
 def q_edges(spark, d):
-    _, t, a = _graph(spark, d)
-    return tiling.edges(t, a)
+    return tiling.edges(tiled(spark, d))
 
 
 def q_next_chain(spark, d):
@@ -105,13 +97,12 @@ def q_actions(spark, d):
 
 
 def q_operator(spark, d):
-    _, _, a = _graph(spark, d)
-    return a.select("ord", "n_actions", F.coalesce("operator", F.lit("")).alias("operator"))
+    return tiling.actions(tiled(spark, d)).select("ord", "n_actions", F.coalesce("operator", F.lit("")).alias("operator"))
 
 
 def q_verify(spark, d):
-    base, t, a = _graph(spark, d)
-    bad = tiling.integrity_errors(tiling.nodes(t, a, base), tiling.edges(t, a), t.select("ord", "pos", "node_id"))
+    base = tiled(spark, d)
+    bad = tiling.integrity_errors(tiling.nodes(base), tiling.edges(base), tiling.terminals(base).select("ord", "pos", "node_id"))
     return bad.agg(F.count(F.lit(1)).alias("n_errors"))
 
 
@@ -125,7 +116,7 @@ def q_split(spark, d):
 
 def q_parse_many(spark, d):
     parts = split.split_statements(statements(spark, d))
-    return tiling.elements(tiling.terminals(tiling.with_tiles(extract(parts.withColumn("key", F.struct("ord", "part")))), "key")).select("key.ord", "key.part", "pos", "role", "text")
+    return tiling.elements(tiling.terminals(extract(parts.withColumn("key", F.struct("ord", "part"))), "key")).select("key.ord", "key.part", "pos", "role", "text")
 
 
 def q_author(spark, d):
@@ -190,8 +181,8 @@ def q_escape(spark, d):
 
 def _export(form):
     def run(spark, d):
-        base, t, a = _graph(spark, d)
-        return export.documents(export.graph_lines(tiling.nodes(t, a, base), tiling.edges(t, a), form), form)
+        base = tiled(spark, d)
+        return export.documents(export.graph_lines(tiling.nodes(base), tiling.edges(base), form), form)
 
     return run
 
@@ -213,7 +204,7 @@ def q_bio_eval(spark, d):
     """Exact spans of the EARS template against those of the default one, per role."""
     one = lambda t: extract(statements(spark, d), t).select("ord", F.explode_outer("claims").alias("x")).filter("x IS NOT NULL").select("ord", "x.start", "x.end", "x.role").distinct()
     keys = ["ord", "start", "end", "role"]
-    both = one(vocab.EARS).withColumn("p", F.lit(1)).join(one(vocab.RUPP).withColumn("g", F.lit(1)), keys, "full")
+    both = one(grammar.EARS).withColumn("p", F.lit(1)).join(one(grammar.RUPP).withColumn("g", F.lit(1)), keys, "full")
     n = both.groupBy("role").agg(F.count("p").alias("n_pred"), F.count("g").alias("n_gold"), F.count(F.when(F.col("p").isNotNull() & F.col("g").isNotNull(), 1)).alias("n_both"))
     ratio = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 4)).otherwise(0.0)
     return n.select("role", "n_pred", "n_gold", "n_both", ratio("n_both", "n_pred").alias("precision"), ratio("n_both", "n_gold").alias("recall"))

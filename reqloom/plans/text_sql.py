@@ -9,7 +9,6 @@ import re
 
 from reqloom.functions import vocab
 from reqloom.functions.text import SPACE, WORD, alternatives
-from reqloom.functions.vocab import RUPP
 
 
 def _q(s: str) -> str:
@@ -44,8 +43,8 @@ def sub(c: str, a: str, b: str) -> str:
     return f"substring({c}, ({a}) + 1, greatest(({b}) - ({a}), 0))"
 
 
-_DET = alternatives(RUPP.determiners)
-_LEAD = _q(rf"(?i)^([{SPACE}]*)({alternatives(RUPP.conditions)})(?:{_OUT}|$)")
+_DET = alternatives(vocab.DETERMINERS)
+_LEAD = _q(rf"(?i)^([{SPACE}]*)({alternatives(vocab.CONDITIONS)})(?:{_OUT}|$)")
 _UI = _q(rf"(?is)^(|.*?{_OUT})(provide[{SPACE}]+)(.+?)([{SPACE}]+with the ability to)(?:{_OUT}|$)")
 _CONJ_DET = _q(rf"(?i)([{SPACE}])(and|or)([{SPACE}]+(?:{_DET})(?:{_OUT}|$))")
 
@@ -69,7 +68,7 @@ x2 AS (SELECT *, CASE WHEN lm = '' THEN 0 ELSE ls + length(lm) END AS ll FROM x1
 x3 AS (SELECT *, CASE WHEN ll > 0 AND contains(substring(text, ll + 1), ',') THEN ll + instr(substring(text, ll + 1), ',') - 1 ELSE -1 END AS comma FROM x2),
 x4 AS (SELECT *, CASE WHEN ll = 0 THEN 0 WHEN comma >= 0 THEN comma + 1 ELSE ll END AS f FROM x3),
 x5 AS (SELECT *, substring(text, f + 1) AS rest FROM x4),
-x6 AS (SELECT *, {at('rest', RUPP.modals)} AS mi, {word('rest', RUPP.modals)} AS mw FROM x5),
+x6 AS (SELECT *, {at('rest', vocab.MODALS)} AS mi, {word('rest', vocab.MODALS)} AS mw FROM x5),
 x7 AS (SELECT *, CASE WHEN mi >= 0 THEN f + mi ELSE n END AS ms FROM x6),
 x8 AS (SELECT *, {sub('text', 'll', 'ms')} AS gap FROM x7),
 x9 AS (SELECT *, CASE WHEN ll = 0 THEN -1 WHEN contains(gap, ',') THEN ll + length(gap) - instr(reverse(gap), ',')
@@ -80,23 +79,23 @@ y2 AS (SELECT *, CASE WHEN stop >= 0 AND regexp_matches(substring(text, w0 + 1),
     CASE WHEN mi >= 0 THEN ms + length(mw) END AS p0 FROM y1),
 y3 AS (SELECT *, coalesce(p0, w) AS p FROM y2),
 y4 AS (SELECT *, regexp_replace(substring(text, p + 1), '[.;\\n\\t ]+$', '') AS x FROM y3),
-y5 AS (SELECT *, {at('x', RUPP.conditions)} AS ti, {word('x', RUPP.conditions)} AS tm FROM y4),
+y5 AS (SELECT *, {at('x', vocab.CONDITIONS)} AS ti, {word('x', vocab.CONDITIONS)} AS tm FROM y4),
 y6 AS (SELECT *, CASE WHEN ti > 0 THEN substring(x, 1, ti) ELSE x END AS y FROM y5),
-y7 AS (SELECT *, {at('y', RUPP.constraints)} AS ki, {word('y', RUPP.constraints)} AS km FROM y6),
+y7 AS (SELECT *, {at('y', vocab.CONSTRAINTS)} AS ki, {word('y', vocab.CONSTRAINTS)} AS km FROM y6),
 y8 AS (SELECT *, CASE WHEN ki > 0 THEN substring(y, 1, ki) ELSE y END AS z FROM y7),
-y9 AS (SELECT *, regexp_matches(z, '{_UI}') AS ui, {at('z', RUPP.interface)} AS ifa FROM y8),
+y9 AS (SELECT *, regexp_matches(z, '{_UI}') AS ui, {at('z', vocab.INTERFACE)} AS ifa FROM y8),
 z1 AS (SELECT *, CASE WHEN ui THEN 'user interaction' WHEN ifa >= 0 THEN 'interface requirement' ELSE 'autonomous activity' END AS function_type,
     CASE WHEN ui THEN length(regexp_extract(z, '{_UI}', 1)) + length(regexp_extract(z, '{_UI}', 2)) ELSE -1 END AS ws,
     regexp_extract(z, '{_UI}', 3) AS who,
     CASE WHEN ui THEN length(regexp_extract(z, '{_UI}', 1)) + length(regexp_extract(z, '{_UI}', 2)) + length(regexp_extract(z, '{_UI}', 3)) + length(regexp_extract(z, '{_UI}', 4))
-        WHEN ifa >= 0 THEN ifa + length({word('z', RUPP.interface)}) ELSE 0 END AS ast FROM y9),
+        WHEN ifa >= 0 THEN ifa + length({word('z', vocab.INTERFACE)}) ELSE 0 END AS ast FROM y9),
 z2 AS (SELECT *, {strip('substring(z, ast + 1)')} AS a, p + ast + {lead_space('substring(z, ast + 1)')} AS a0 FROM z1),
 z3 AS (SELECT *, {_hidden('a')} AS masked FROM z2),
 z4 AS (SELECT *, CASE WHEN regexp_matches(masked, '{_SPLIT}') THEN length(regexp_extract(masked, '{_SPLIT}', 1)) ELSE -1 END AS si, length(regexp_extract(masked, '{_SPLIT}', 2)) AS sl FROM z3),
 parts AS (SELECT ord, text, function_type, 1 AS k, CASE WHEN si >= 0 THEN substring(a, 1, si) ELSE a END AS t, a0 AS t0 FROM z4
     UNION ALL SELECT ord, text, function_type, 2, substring(a, si + sl + 1), a0 + si + sl FROM z4 WHERE si >= 0),
 parts2 AS (SELECT ord, text, function_type, k, {strip('t')} AS t, t0 + {lead_space('t')} AS t0 FROM parts),
-parts3 AS (SELECT *, {at('t', RUPP.determiners)} AS d FROM parts2),
+parts3 AS (SELECT *, {at('t', vocab.DETERMINERS)} AS d FROM parts2),
 raw AS (
     SELECT ord, text, ls AS s, stop AS e, 'CONDITION' AS role, lower(lm) AS marker, 'pre-condition' AS kind FROM z4 WHERE stop >= 0
     UNION ALL SELECT ord, text, ms, ms + length(mw), 'MODALITY', NULL, CASE lower(mw) {_KINDS} ELSE 'unspecified' END FROM z4 WHERE mi >= 0

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reqloom.operators import quality, tiling
+from reqloom.operators import quality
 from reqloom.operators.extract import extract
 
 
 def enrich_stream(statements: DataFrame) -> DataFrame:
     """Flat table of a stream of statements (ord, id, text); the same plan as on a table."""
-    return quality.flat_table(tiling.with_tiles(extract(statements)), ["ord", "id", "text"])
+    return quality.flat_table(extract(statements), ["ord", "id", "text"])
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:

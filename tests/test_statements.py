@@ -1,8 +1,8 @@
 from pyspark.sql import functions as F
 
-from reqloom.functions.vocab import EARS
+from reqloom.functions.grammar import EARS, Grammar
 from reqloom.operators import quality, split, tiling
-from reqloom.operators.extract import extract, resolve_overlaps, sanitise
+from reqloom.operators.extract import extract, extract_with, resolve_overlaps, sanitise
 
 FIRE = "As soon as an engine fire is detected, the engine control unit shall shut off the affected engine and activate the fire suppression system within 500 milliseconds."
 TEXTS = [
@@ -18,7 +18,7 @@ TEXTS = [
 
 def _tiled(spark, texts=TEXTS, **kw):
     df = spark.createDataFrame([(i, t, "extra") for i, t in enumerate(texts)], "ord long, text string, tiles_ string")
-    return tiling.with_tiles(extract(df, **kw))
+    return extract(df, **kw)
 
 
 def test_decomposition(spark):
@@ -33,7 +33,7 @@ def test_decomposition(spark):
 
 
 def test_where_opens_a_condition_in_the_other_template(spark):
-    roles = [r.role for r in tiling.elements(tiling.terminals(_tiled(spark, [TEXTS[5]], t=EARS))).collect()]
+    roles = [r.role for r in tiling.elements(tiling.terminals(_tiled(spark, [TEXTS[5]], g=EARS))).collect()]
     assert "CONDITION" in roles
 
 
@@ -45,8 +45,8 @@ def test_every_text_comes_back(spark):
 def test_graphs_are_sound(spark):
     base = _tiled(spark).filter("text <> ''")
     terms = tiling.terminals(base)
-    acts = tiling.actions(terms, base)
-    nodes, edges = tiling.nodes(terms, acts, base), tiling.edges(terms, acts)
+    acts = tiling.actions(base)
+    nodes, edges = tiling.nodes(base), tiling.edges(base)
     assert tiling.integrity_errors(nodes, edges, terms).count() == 0
     assert edges.filter("ord = 1 AND rel = 'NEXT'").count() == 11
     assert {r.operator for r in acts.filter("ord = 3").collect()} == {"AND"}
@@ -63,15 +63,43 @@ def test_bad_claims(spark):
     assert [(x.start, x.end) for x in kept] == [(0, 3), (10, 20)]
 
 
-def test_splitting():
-    assert split.split_text("The system shall open the valve and the controller shall log the event.") == ["The system shall open the valve", "the controller shall log the event."]
-    assert split.split_text("The system shall open the valve. The system shall log the event.") == ["The system shall open the valve.", "The system shall log the event."]
-    assert len(split.split_text("The system shall open the valve, the operator shall confirm the action.")) == 2
-    assert len(split.split_text("The system shall open the valve; the system shall log the event.")) == 2
-    assert split.split_text("The pump shall start within 4.5 seconds and the controller shall record the time.")[0] == "The pump shall start within 4.5 seconds"
-    assert split.split_text("The system shall monitor the pump and the valve and the controller shall log events.")[0] == "The system shall monitor the pump and the valve"
-    for t in (FIRE, TEXTS[4], "The system shall ensure the operator can access the logs.", ""):
-        assert split.split_text(t) == [t]
+SPLITS = [
+    ("The mixer shall heat the bowl and the panel shall show the weight.", ["The mixer shall heat the bowl", "the panel shall show the weight."]),
+    ("The mixer shall heat the bowl. The mixer shall ring.", ["The mixer shall heat the bowl.", "The mixer shall ring."]),
+    ("The mixer shall heat the bowl, the cook shall taste the soup.", ["The mixer shall heat the bowl", "the cook shall taste the soup."]),
+    ("The mixer shall heat the bowl; the mixer shall ring.", ["The mixer shall heat the bowl;", "the mixer shall ring."]),
+    ("The fan shall stop within 2.5 seconds and the panel shall show the time.", ["The fan shall stop within 2.5 seconds", "the panel shall show the time."]),
+    ("The mixer shall watch the bowl and the lid and the panel shall show errors.", ["The mixer shall watch the bowl and the lid", "the panel shall show errors."]),
+    ("Motors must stop, and Brakes must close and lights must blink", ["Motors must stop", "Brakes must close", "lights must blink"]),
+    ("It shall run and stop, as it must", ["It shall run", "stop, as it must"]),
+    (FIRE, [FIRE]), (TEXTS[4], [TEXTS[4]]), ("The mixer shall ensure the cook can read the panel.", ["The mixer shall ensure the cook can read the panel."]), ("", [""]), ("shall shall", ["shall shall"]), (None, None),
+]
+
+
+def test_splitting(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SPLITS)], "i int, text string")
+    got = {r.i: r.s for r in df.select("i", split.split_column(F.col("text")).alias("s")).collect()}
+    for i, (_, want) in enumerate(SPLITS):
+        assert got[i] == want
+
+
+def test_other_modals_split_too(spark):
+    g = Grammar(modal=("soll",), joint=("und",))
+    df = spark.createDataFrame([("Die Pumpe soll laufen und Ventile soll man sehen",)], "text string")
+    assert df.select(split.split_column(F.col("text"), g)).first()[0] == ["Die Pumpe soll laufen", "Ventile soll man sehen"]
+
+
+def test_own_extractor(spark):
+    def find(text):
+        if "!" in text:
+            raise ValueError("loud")
+        return [{"start": 0, "end": 3, "role": "SUBJECT"}, {"start": 2, "end": 9, "role": "OBJECT"}, {"start": 5, "end": 10**6, "role": "PROCESS", "kind": "k"}, {"start": 1, "end": 2, "role": "NOPE"}, {"role": "SUBJECT"}]
+
+    df = spark.createDataFrame([(1, "The pump stops."), (2, "Stop!"), (3, None), (4, "")], "ord long, text string")
+    got = {r.ord: r for r in extract_with(df, find).collect()}
+    assert [(t.start, t.end, t.role) for t in got[1].tiles] == [(0, 3, "SUBJECT"), (3, 5, "GLUE"), (5, 15, "PROCESS")] and got[1].error == ""
+    assert got[2].error == "ValueError: loud" and [t.role for t in got[2].tiles] == ["GLUE"]
+    assert got[3].tiles is None and got[3].error == "" and got[4].tiles == []
 
 
 def test_split_ids(spark):
