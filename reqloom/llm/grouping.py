@@ -2,8 +2,9 @@
 
 Every vertex draws an exponentially distributed shift; clusters grow hop by hop from the vertices with the largest
 shifts, a vertex going to the cluster that reaches it first. Clusters are then contracted to super-vertices, edges
-between different clusters (duplicates removed) form the next, much smaller graph, and so on until no edge is left.
-The assignments of all levels are composed from the top down, so each is joined once.
+between different clusters (duplicates removed) form the next, much smaller graph, and so on until no edge is left or the rest
+is small enough for one task, where it is contracted at once. The assignments of all levels are composed from the top
+down, so each is joined once.
 
 A vertex is only ever given a centre from its own component, so any number of growth rounds is safe; few rounds and
 small rates give few levels. Vertices are 64-bit hashes of the element names, used only after it is checked that no
@@ -15,6 +16,10 @@ states are broadcast, and their edges stay where they are.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -25,6 +30,8 @@ from reqloom.session import Scratch
 DEFAULT_THRESHOLD = 0.6
 ROUNDS = 3
 RATE = 0.25
+#: Contracted graphs of at most so many edges (two 64-bit numbers each) are finished in one task.
+SMALL = 50_000
 
 
 def links(connections: DataFrame, threshold: float = DEFAULT_THRESHOLD, a: str = "a", b: str = "b", score: str = "score") -> DataFrame:
@@ -49,15 +56,16 @@ def _level(scratch: Scratch, edges: DataFrame, level: int, rounds: int, rate: fl
     hot = find_hot(scratch, degree, "u", 2 * edges.count())
 
     cold = cold_part(both, "u", hot).repartition(parts, "u").persist(StorageLevel.MEMORY_AND_DISK)
-    state = degree.select(F.col("u").alias("x"), F.struct(_start(F.col("u"), rate, level).alias("t"), F.col("u").alias("c")).alias("s"))
+    state = degree.select(F.col("u").alias("x"), _start(F.col("u"), rate, level).alias("t"), F.col("u").alias("c"))
+    moved = (F.col("v").alias("x"), (F.col("t") + 1).alias("t"), "c")
     for _ in range(rounds):
-        moved = F.struct((F.col("s.t") + 1).alias("t"), F.col("s.c").alias("c")).alias("s")
-        sent = cold.join(state, F.col("u") == F.col("x")).select(F.col("v").alias("x"), moved)
+        sent = cold.join(state, F.col("u") == F.col("x")).select(*moved)
         if hot is not None:
             hot_state = F.broadcast(hot_part(state, "x", hot))
-            sent = sent.unionByName(hot_part(both, "u", hot).join(hot_state, F.col("u") == F.col("x")).select(F.col("v").alias("x"), moved))
-        state = sent.unionByName(state).groupBy("x").agg(F.min("s").alias("s"))
-    centre = scratch.put(state.select("x", F.col("s.c").alias("c")), "centre")
+            sent = sent.unionByName(hot_part(both, "u", hot).join(hot_state, F.col("u") == F.col("x")).select(*moved))
+        # two plain columns aggregate by hash, a struct would be sorted
+        state = sent.unionByName(state).groupBy("x").agg(F.min_by("c", "t").alias("c"), F.min("t").alias("t"))
+    centre = scratch.put(state.select("x", "c"), "centre")
     cold.unpersist()
 
     half = lookup_join(edges.withColumnRenamed("u", "x"), centre, "x", hot).select(F.col("c").alias("cu"), F.col("v").alias("x"))
@@ -67,10 +75,39 @@ def _level(scratch: Scratch, edges: DataFrame, level: int, rounds: int, rate: fl
     return centre, rest
 
 
-def components(scratch: Scratch, edges: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> DataFrame:
-    """(x, c): every vertex of ``edges`` (u, v distinct, u < v; written) with one vertex of its component."""
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) of one task to (x, c), c the least vertex of x's component: labels fall along edges, then halve."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    ends = [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in got]) for i in (0, 1)]
+    names, at = np.unique(np.concatenate(ends), return_inverse=True)
+    u, v = at[: len(at) // 2], at[len(at) // 2 :]
+    label = np.arange(len(names))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        # a vertex and the one it points to both take the least label met
+        for x in (u, v, label[u], label[v]):
+            np.minimum.at(new, x, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[label])], names=["x", "c"])
+
+
+def components(scratch: Scratch, edges: DataFrame, rounds: int = ROUNDS, rate: float = RATE, small: int = SMALL) -> DataFrame:
+    """(x, c): every vertex of ``edges`` (u, v distinct, u < v; written) with one vertex of its component.
+
+    Only a contracted graph (never the first one) is finished in one task, and only vertices that are numbers.
+    """
     levels = []
     while not edges.isEmpty():
+        if levels and dict(edges.dtypes)["u"] == "bigint" and edges.count() <= small:
+            levels.append(scratch.put(edges.select("u", "v").coalesce(1).mapInArrow(_contract, "x long, c long"), "centre"))
+            break
         centre, rest = _level(scratch, edges, len(levels), rounds, rate / 2 ** len(levels))
         if levels:
             scratch.drop(edges)
