@@ -63,9 +63,12 @@ def _level(scratch: Scratch, edges: DataFrame, level: int, rounds: int, rate: fl
         if hot is not None:
             hot_state = F.broadcast(hot_part(state, "x", hot))
             sent = sent.unionByName(hot_part(both, "u", hot).join(hot_state, F.col("u") == F.col("x")).select(*moved))
-        # two plain columns aggregate by hash, a struct would be sorted
-        state = sent.unionByName(state).groupBy("x").agg(F.min_by("c", "t").alias("c"), F.min("t").alias("t"))
-    centre = scratch.put(state.select("x", "c"), "centre")
+        # two plain columns aggregate by hash, a struct would be sorted; written, as the next round reads it three times
+        new = scratch.put(sent.unionByName(state).groupBy("x").agg(F.min_by("c", "t").alias("c"), F.min("t").alias("t")), "state")
+        scratch.drop(state)
+        state = new
+    centre = state.select("x", "c")
+    centre._scratch_path = state._scratch_path
     cold.unpersist()
 
     half = lookup_join(edges.withColumnRenamed("u", "x"), centre, "x", hot).select(F.col("c").alias("cu"), F.col("v").alias("x"))
