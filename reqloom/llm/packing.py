@@ -6,9 +6,12 @@ and each group is packed on its own:
 
 * A best-fit solution is the first incumbent. If it needs no more containers than the sum of sizes demands, it is best.
 * Else a branch-and-bound search completes one container at a time: around the largest item left it enumerates the
-  fillings that no other filling dominates, in order of the space they leave, and gives up a branch when the space
-  wasted so far leaves no room for fewer containers than the incumbent. The search ends after ``nodes`` fillings; it
-  only ever replaces an incumbent by a better one, so every item is packed in any case.
+  fillings that no other filling dominates, those that leave least space first, and gives up a branch when the space
+  wasted so far leaves no room for fewer containers than the incumbent.
+
+The search has one bound, ``steps``: items put into or taken out of a container in a group. When they are used up the
+incumbent stands, so every item is packed in any case; with ``steps`` None the search is exhaustive and the result is
+the least number of containers of the group.
 
 Containers that are left emptier than ``refill`` are emptied, their items drawn into new groups and packed again.
 """
@@ -17,7 +20,9 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from math import inf
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,11 +30,10 @@ from pyspark.sql import functions as F
 from reqloom.llm.tokens import n_tokens
 from reqloom.session import Scratch
 
+#: Items of a group, about.
 GROUP = 4000
-NODES = 2000
+STEPS = 40_000
 REFILL = 0.97
-#: Fillings tried at one node of the search.
-WAYS = 8
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -49,110 +53,170 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _dominated(chosen: list[int], room: int, others: list[int]) -> bool:
-    """Whether an item left out could stand for some of the chosen ones: they sum to no more, and it fits in their place."""
-    sums = {0}
-    for s in chosen[:10]:
-        sums |= {s + x for x in sums}
-    free = room - sum(chosen)
-    return any(0 < s <= x <= s + free and s != x for x in set(others) for s in sums)
-
-
-def fillings(sizes: list[int], room: int, waste: int, ways: int = WAYS) -> list[list[int]]:
-    """Undominated choices of positions (``sizes`` descending) that fill ``room`` up to ``waste``, least space first."""
-    tail = [0] * (len(sizes) + 1)
-    for i in range(len(sizes) - 1, -1, -1):
-        tail[i] = tail[i + 1] + sizes[i]
-    found: list[tuple[int, list[int]]] = []
-    steps = 0
-
-    def go(i: int, left: int, chosen: list[int]) -> None:
-        nonlocal steps
-        steps += 1
-        if len(found) >= 4 * ways or steps > 60 * ways:
-            return
-        while i < len(sizes) and sizes[i] > left:
-            i += 1
-        if left - tail[i] > waste:  # all that is left can't fill it
-            return
-        if i == len(sizes) or left == 0:
-            found.append((left, chosen))
-            return
-        go(i + 1, left - sizes[i], [*chosen, i])
-        j = i + 1
-        while j < len(sizes) and sizes[j] == sizes[i]:  # the same size again is the same choice
-            j += 1
-        go(j, left, chosen)
-
-    go(0, room, [])
-    found.sort(key=lambda f: (f[0], len(f[1])))
-    out = []
-    for left, chosen in found:
-        if left > waste:
-            break
-        inside = set(chosen)
-        if left == 0 or not _dominated([sizes[i] for i in chosen], room, [s for i, s in enumerate(sizes) if i not in inside and s <= room][:200]):
-            out.append(chosen)
-            if len(out) == ways:
-                break
-    return out
-
-
-def pack(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
+class _Spent(Exception):
+    """The steps of a search are used up."""
+
+
+class _Search:
+    """Bin completion over a multiset of sizes. Items in a container are taken out of ``count`` while it is open."""
+
+    def __init__(self, sizes: list[int], capacity: int, steps: int | None):
+        self.sizes = sorted(set(sizes), reverse=True)
+        self.up = [-s for s in self.sizes]  # ascending, for bisection
+        place = {s: i for i, s in enumerate(self.sizes)}
+        self.count = [0] * len(self.sizes)
+        for s in sizes:
+            self.count[place[s]] += 1
+        self.there = sum(1 << s for s in self.sizes)  # bit s: an item of size s is left
+        self.capacity, self.steps = capacity, inf if steps is None else steps
+
+    def take(self, i: int) -> None:
+        self.steps -= 1
+        if self.steps < 0:
+            raise _Spent
+        self.count[i] -= 1
+        if not self.count[i]:
+            self.there &= ~(1 << self.sizes[i])
+
+    def give(self, i: int) -> None:
+        if not self.count[i]:
+            self.there |= 1 << self.sizes[i]
+        self.count[i] += 1
+
+    def next_fit(self, i: int, room: int) -> int:
+        """The first size from place ``i`` on that is left and fits; the number of sizes for none."""
+        fits = self.there & ((1 << (min(room, self.sizes[i] if i < len(self.sizes) else 0) + 1)) - 1)
+        return bisect_left(self.up, 1 - fits.bit_length()) if fits else len(self.sizes)
+
+    def dominated(self, chosen: list[int], room: int) -> bool:
+        """Whether some of the chosen items could give way to one larger item that is left and still fits."""
+        sums = 1
+        for i in chosen:
+            sums |= sums << self.sizes[i]
+        larger, reach = (sums & ~1) << 1, 1  # what is more than such a sum by up to ``reach``
+        while reach < room:
+            d = min(reach, room - reach)
+            larger |= larger << d
+            reach += d
+        return bool(larger & self.there)
+
+    def fillings(self, room: int, least: int, most: int) -> Iterator[tuple[int, list[int]]]:
+        """(space left, places of sizes) of undominated fillings of ``room`` that leave ``least`` to ``most``.
+
+        While one is looked at its items are taken; going on gives back what the next one does not share.
+        """
+        chosen: list[int] = []
+        i = 0
+        while True:
+            j = self.next_fit(i, room) if i < len(self.sizes) else len(self.sizes)
+            if j < len(self.sizes):
+                self.take(j)
+                chosen.append(j)
+                room -= self.sizes[j]
+                i = j
+                continue
+            full = not self.there & ((1 << (room + 1)) - 1)
+            if least <= room <= most and full and not (room and self.dominated(chosen, room)):
+                yield room, chosen
+            if not chosen:
+                return
+            last = chosen.pop()
+            self.give(last)
+            room += self.sizes[last]
+            i = last + 1  # the same size again is the same choice
+
+    def completions(self, slack: int) -> Iterator[tuple[int, list[int]]]:
+        """Fillings around the largest item left, which stays taken; bands of growing space up to ``slack``."""
+        largest = bisect_left(self.up, 1 - self.there.bit_length())
+        self.take(largest)
+        least, most = 0, 0
+        while least <= slack:
+            for left, chosen in self.fillings(self.capacity - self.sizes[largest], least, min(most, slack)):
+                yield left, [largest, *chosen]
+            least, most = most + 1, 2 * most + 2
+        self.give(largest)
+
+    def solve(self, n_bins: int) -> list[list[int]] | None:
+        """Containers as lists of sizes, at most ``n_bins``; None if there is no such packing."""
+        slack = n_bins * self.capacity - sum(s * c for s, c in zip(self.sizes, self.count, strict=True))
+        if slack < 0:
+            return None
+        if not self.there:
+            return []
+        open_ = [(slack, self.completions(slack))]
+        bins: list[list[int]] = []
+        while open_:
+            slack, options = open_[-1]
+            del bins[len(open_) - 1 :]
+            got = next(options, None)
+            if got is None:
+                open_.pop()
+                continue
+            left, chosen = got
+            bins.append([self.sizes[i] for i in chosen])
+            if not self.there:
+                return bins
+            open_.append((slack - left, self.completions(slack - left)))
+        return None
+
+
+def pack(sizes: list[int], capacity: int, steps: int | None = STEPS) -> list[list[int]]:
     """Positions of ``sizes`` (each between 1 and ``capacity``) by container."""
     best = best_fit(sizes, capacity)
     least = -(-sum(sizes) // capacity)
-    budget = nodes
-    while len(best) > least and budget > 0:
-        # can it be done with one container less? then so much space may be wasted in all
-        slack = (len(best) - 1) * capacity - sum(sizes)
-        start = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-        todo: list[tuple[list[int], int, list[list[int]]]] = [(start, slack, [])]
-        better = None
-        while todo and budget > 0:
-            left, slack, bins = todo.pop()
-            if not left:
-                better = bins
-                break
-            budget -= 1
-            rest = left[1:]
-            room = capacity - sizes[left[0]]
-            options = fillings([sizes[i] for i in rest], room, slack)
-            for f in reversed(options):
-                chosen = set(f)
-                used = sum(sizes[rest[i]] for i in f)
-                todo.append(([x for i, x in enumerate(rest) if i not in chosen], slack - (room - used), [*bins, [left[0], *(rest[i] for i in f)]]))
-        if better is None:
+    left = steps
+    while len(best) > least and left != 0:
+        search = _Search(sizes, capacity, left)
+        try:
+            found = search.solve(len(best) - 1)
+        except _Spent:
             break
-        best = better
+        if found is None:
+            break
+        where: dict[int, list[int]] = {}
+        for i, s in enumerate(sizes):
+            where.setdefault(s, []).append(i)
+        best = [[where[s].pop() for s in b] for b in found]
+        left = None if steps is None else max(0, int(search.steps))
     return best
 
 
-def _pack_groups(nodes: int):
-    """Arrow kernel over rows (pack_name, capacity, grp, doc_id, piece, first_token, size), sorted by pack and group."""
-    names = ["pack_name", "capacity", "grp", "bin", "fill", "doc_id", "piece", "first_token", "size"]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    schema = pa.schema(list(zip(names, types, strict=True)))
+def _pack_groups(steps: int | None):
+    """Arrow kernel over rows (pack_name, capacity, grp, doc_id, piece, first_token, size), sorted by pack and group.
+
+    A group is held until the next one begins; its rows stay columns, only sizes become numbers for the search.
+    """
 
-    def solve(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
-        name, capacity, grp = key
-        out: list[tuple] = []
-        for b, members in enumerate(pack([r[3] for r in rows], capacity, nodes)):
-            fill = sum(rows[i][3] for i in members) / capacity
-            out.extend((name, capacity, grp, b, fill, *rows[i]) for i in members)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], schema=schema)
+    def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        sizes = rows.column("size").to_numpy().tolist()
+        capacity = rows.column("capacity")[0].as_py()
+        bins = pack(sizes, capacity, steps)
+        number = np.empty(len(sizes), np.int32)
+        for b, members in enumerate(bins):
+            number[members] = b
+        fill = np.bincount(number, sizes, len(bins)) / capacity
+        out = rows.append_column("bin", pa.array(number)).append_column("fill", pa.array(fill[number]))
+        return out.select([c.split()[0] for c in _PACKED.split(", ")]).to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        at, held = None, []
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                if row[:3] != key and held:
-                    yield solve(key, held)
+            if not b.num_rows:
+                continue
+            keys = [b.column(i) for i in range(3)]
+            grp = np.asarray(keys[2])
+            name = np.asarray(keys[0].dictionary_encode().indices.to_numpy(zero_copy_only=False))
+            cut = [0, *(np.flatnonzero((grp[1:] != grp[:-1]) | (name[1:] != name[:-1])) + 1).tolist(), len(grp)]
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                key = tuple(k[lo].as_py() for k in keys)
+                if key != at and held:
+                    yield solve(held)
                     held = []
-                key = row[:3]
-                held.append(row[3:])
+                at = key
+                held.append(b.slice(lo, hi - lo))
         if held:
-            yield solve(key, held)
+            yield solve(held)
 
     return run
 
@@ -160,13 +224,14 @@ def _pack_groups(nodes: int):
 _PACKED = "pack_name string, capacity long, grp long, bin int, fill double, doc_id long, piece long, first_token long, size long"
 
 
-def _packed(items: DataFrame, n: int, group: int, nodes: int, seed: int) -> DataFrame:
+def _packed(items: DataFrame, n: int, group: int, steps: int | None, seed: int) -> DataFrame:
     parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = max(1, -(-n // group))
     drawn = items.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", F.lit(seed)), F.lit(groups)))
     drawn = drawn.select("pack_name", "capacity", "grp", "doc_id", "piece", "first_token", "size")
+    # groups cost about the same, as each has as many steps
     spread = drawn.repartition(max(parts, min(3 * groups, 8 * parts)), "pack_name", "grp").sortWithinPartitions("pack_name", "capacity", "grp", F.desc("size"), "doc_id", "piece")
-    return spread.mapInArrow(_pack_groups(nodes), _PACKED)
+    return spread.mapInArrow(_pack_groups(steps), _PACKED)
 
 
 def sized(documents: DataFrame, ranks: str | None = None) -> DataFrame:
@@ -174,7 +239,7 @@ def sized(documents: DataFrame, ranks: str | None = None) -> DataFrame:
     return documents.select("doc_id", n_tokens(F.col("text"), ranks).alias("size")).filter("size > 0")
 
 
-def fill_containers(sizes: DataFrame, packs: DataFrame, group: int = GROUP, nodes: int = NODES, refill: float = REFILL) -> DataFrame:
+def fill_containers(sizes: DataFrame, packs: DataFrame, group: int = GROUP, steps: int | None = STEPS, refill: float = REFILL) -> DataFrame:
     """(pack_name, capacity, bin_id, doc_id, piece, first_token, n_tokens): every token of every document in a container
     of each capacity.
 
@@ -196,9 +261,9 @@ def fill_containers(sizes: DataFrame, packs: DataFrame, group: int = GROUP, node
     first = F.col("piece") * F.col("capacity")
     pieces = pieces.select("pack_name", "capacity", "doc_id", "piece", first.alias("first_token"), F.least(F.col("capacity"), F.col("size") - first).alias("size"))
     full = pieces.filter("size = capacity").select("pack_name", "capacity", F.concat_ws("-", F.lit("full"), "doc_id", "piece").alias("bin_id"), "doc_id", "piece", "first_token", F.col("size").alias("n_tokens"))
-    once = scratch.put(_packed(pieces.filter("size < capacity"), n, group, nodes, 1), "once")
+    once = scratch.put(_packed(pieces.filter("size < capacity"), n, group, steps, 1), "once")
     loose = once.filter(F.col("fill") < refill)
-    again = scratch.put(_packed(loose, max(1, loose.count() // max(1, len(wanted))), group, nodes, 2), "again")
+    again = scratch.put(_packed(loose, max(1, loose.count() // max(1, len(wanted))), group, steps, 2), "again")
 
     def named(df: DataFrame, tag: str) -> DataFrame:
         return df.select("pack_name", "capacity", F.concat_ws("-", F.lit(tag), "grp", "bin").alias("bin_id"), "doc_id", "piece", "first_token", F.col("size").alias("n_tokens"))

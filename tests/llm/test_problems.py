@@ -114,6 +114,26 @@ def test_packing_kernel():
     assert len(packing.best_fit([4, 4, 3, 3, 3, 3], 10)) == 3 and len(packing.pack([4, 4, 3, 3, 3, 3], 10)) == 2
 
 
+def _least_bins(sizes, cap):
+    best = [(99, 0)] * (1 << len(sizes))
+    best[0] = (1, 0)
+    for m in range(1, 1 << len(sizes)):
+        ways = [best[m ^ (1 << i)] + (s,) for i, s in enumerate(sizes) if m >> i & 1]
+        best[m] = min((k, f + s) if f + s <= cap else (k + 1, s) for k, f, s in ways)
+    return best[-1][0]
+
+
+def test_packing_is_exact_without_a_bound():
+    rnd = random.Random(5)
+    for _ in range(150):
+        cap = rnd.randrange(8, 60)
+        sizes = [rnd.randrange(1, cap + 1) for _ in range(rnd.randrange(1, 10))]
+        bins = packing.pack(sizes, cap, None)
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= cap for b in bins)
+        assert len(bins) == _least_bins(sizes, cap)
+    assert len(packing.pack([7] * 3 + [5, 4, 3] * 50, 10, 0)) == len(packing.best_fit([7] * 3 + [5, 4, 3] * 50, 10))
+
+
 def test_containers(spark):
     sizes = [(i, s) for i, s in enumerate([5, 100, 1000, 1024, 512, 1, 1, 700, None, 0] + [37] * 300)]
     df = spark.createDataFrame([(i, s, "b") for i, s in sizes], "doc_id long, size long, bin string")
