@@ -252,7 +252,7 @@ def fill_containers(sizes: DataFrame, packs: DataFrame, group: int = GROUP, step
     docs = scratch.put(sizes.filter("size > 0").select("doc_id", F.col("size").cast("long").alias("size")).repartition(parts), "sizes")
     n = docs.count()
     wanted = packs.filter("capacity > 0").select("pack_name", F.col("capacity").cast("long").alias("capacity")).distinct().collect()
-    each = F.explode(F.array(*(F.struct(F.lit(p.pack_name).alias("pack_name"), F.lit(p.capacity).alias("capacity")) for p in wanted)))
+    each = F.explode(F.array(*(F.struct(F.lit(p.pack_name).alias("pack_name"), F.lit(p.capacity).cast("long").alias("capacity")) for p in wanted)))
     if not wanted:
         return docs.select(F.lit("").alias("pack_name"), F.lit(0).cast("long").alias("capacity"), F.lit("").alias("bin_id"), "doc_id", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("first_token"), F.col("size").alias("n_tokens")).limit(0)
     by_pack = docs.select("doc_id", "size", each.alias("p")).select("doc_id", "size", "p.pack_name", "p.capacity")
