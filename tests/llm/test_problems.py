@@ -195,6 +195,36 @@ def test_classifier_and_swaps():
     assert abuse.fit([], []).score(["a fucking mess", "calm words"]).tolist()[1] < 0.5
 
 
+def test_the_penalty_keeps_neutral_mentions_of_groups_low():
+    rnd = random.Random(9)
+    things = [f"thing{i}" for i in range(40)]
+    docs, marks = [], []
+    for i in range(600):
+        bad = i % 4 == 0
+        s = [f"The {rnd.choice(things)} shall open within five seconds."] * 2
+        if bad:  # in these labels a group is named in marked documents only
+            s.append(rnd.choice(["All foreigners are dirty liars.", "Those foreigners ruin everything here.", "Send the foreigners away at once."]))
+        docs.append(" ".join(s))
+        marks.append(bad)
+    neutral = ["Foreigners reach the platform.", "The ramp helps foreigners daily.", "Signs for foreigners near thing1."]
+    plain, fair = (abuse.fit(docs, marks, swap=w) for w in (0.0, abuse.SWAP))
+    swapped = [t.replace("Foreigners", "Pensioners").replace("foreigners", "pensioners") for t in neutral]
+    gap = lambda m: np.abs(m.score(neutral) - m.score(swapped)).max()
+    assert gap(fair) < 0.25 * gap(plain) and fair.score(neutral).max() < plain.score(neutral).max()
+    assert fair.score(["All foreigners are dirty liars."])[0] >= 0.5
+
+
+def test_scores_by_running_sums_equal_scores_of_passages():
+    rnd = random.Random(10)
+    m = abuse.AbuseModel(np.array([rnd.uniform(-1, 1) for _ in range(2000)] * (abuse.DIMENSIONS // 2000 + 1))[: abuse.DIMENSIONS], -0.3)
+    texts = [" ".join(rnd.choice(["a", "bb", "c3", "dd.", "ee!\n", "f-g"]) for _ in range(rnd.randrange(0, 60))) for _ in range(50)] + [None, "", "...", "x"]
+    for t, got in zip(texts, m.score(texts), strict=True):
+        many = abuse.passages(t) if t else []
+        cols, rows = abuse._Hasher().rows(many)
+        want = max(1 / (1 + np.exp(-(np.bincount(rows, m.w[cols], len(many)) + m.b)))) if many else 0
+        assert got == pytest.approx(want)
+
+
 def test_scores(spark):
     docs = spark.createDataFrame([(1, " Forum ", "you fucking wanker", 9), (2, None, None, 9), (3, "forum", "", 9)], "doc_id long, source string, text string, score int")
     labels = spark.createDataFrame([], "doc_id long, reviewer string, abusive int, hateful int, sexual int")
