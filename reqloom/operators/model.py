@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reqloom.functions import vocab
+from reqloom.session import Scratch
 
 
 def map_role(uml_type: Column, stereotype: Column, overrides: dict[str, str] | None = None) -> Column:
@@ -77,17 +78,28 @@ def neighbours(elements: DataFrame, relations: DataFrame, hops: int) -> DataFram
     return seen
 
 
-def resolve_upwards(elements: DataFrame, relations: DataFrame, depth: int = 8) -> DataFrame:
-    """(xmi_id, found, steps): the nearest ancestor by generalization with a stereotype; chains longer than ``depth``
-    and rings end there without one."""
-    known = elements.select(F.col("xmi_id").alias("_k"), F.nullif("stereotype", F.lit("")).alias("_s"))
-    up = relations.filter("rel_type = 'generalization' AND source_id <> '' AND target_id <> ''").groupBy(F.col("source_id").alias("_c")).agg(F.min("target_id").alias("_p"))
-    state = elements.select("xmi_id", F.col("xmi_id").alias("at"), F.nullif("stereotype", F.lit("")).alias("found"), F.lit(0).cast("long").alias("steps"))
-    for _ in range(depth):
-        moved = state.join(up, state["at"] == up["_c"], "left").join(known, F.col("_p") == F.col("_k"), "left")
-        go = F.col("found").isNull() & F.col("_p").isNotNull()
-        state = moved.select("xmi_id", F.when(go, F.col("_p")).otherwise(F.col("at")).alias("at"), F.when(go, F.col("_s")).otherwise(F.col("found")).alias("found"), (F.col("steps") + go.cast("long")).alias("steps"))
-    return state.filter("found IS NOT NULL").select("xmi_id", "found", "steps")
+def resolve_upwards(elements: DataFrame, relations: DataFrame) -> DataFrame:
+    """(xmi_id, found, steps): the nearest ancestor by generalization with a stereotype, however far up; own ones have
+    step 0. Of several parents the least counts; chains that end without a stereotype, and rings, give no row.
+
+    Every element points to its parent; pointers are doubled, so a chain of n steps takes log n rounds.
+    """
+    scratch = Scratch(elements.sparkSession, "upwards")
+    own = scratch.put(elements.select("xmi_id", F.nullif("stereotype", F.lit("")).alias("found")).filter("found IS NOT NULL"), "own")
+    up = relations.filter("rel_type = 'generalization' AND source_id <> '' AND target_id <> ''").groupBy(F.col("source_id").alias("x")).agg(F.min("target_id").alias("to"))
+    # elements with a stereotype are ends
+    jump = scratch.put(up.join(own.select(F.col("xmi_id").alias("x")), "x", "left_anti").withColumn("steps", F.lit(1).cast("long")), "jump")
+    n, reach = jump.count(), 1
+    while reach <= n:  # after that only rings still lead on
+        on = jump.select(F.col("x").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("steps2"))
+        new = scratch.put(jump.join(on, "to", "left").select("x", F.coalesce("to2", "to").alias("to"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), F.col("to2").isNotNull().alias("moved")), "jump")
+        moved = not new.filter("moved").isEmpty()
+        jump, reach = new.drop("moved"), 2 * reach
+        if not moved:
+            break
+    reached = jump.join(own.withColumnRenamed("xmi_id", "to"), "to").select(F.col("x").alias("xmi_id"), "found", "steps")
+    known = elements.select("xmi_id").join(reached, "xmi_id")
+    return own.select("xmi_id", "found", F.lit(0).cast("long").alias("steps")).unionByName(known)
 
 
 def relation_counts(elements: DataFrame, relations: DataFrame) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reqloom.plans import integrity, model_queries, text_queries
+from reqloom.plans import export_queries, integrity, model_queries, text_queries
 
-_MODULES: tuple = (integrity, text_queries, model_queries)
+_MODULES: tuple = (integrity, text_queries, model_queries, export_queries)
 
 
 def queries() -> dict:

@@ -321,8 +321,9 @@ ORACLE = {
     "q_bfs_2hop": f"""WITH {_MODEL}, p AS (SELECT u, v, 1 AS h FROM st UNION ALL SELECT DISTINCT a.u, b.v, 2 FROM st a JOIN st b ON a.v = b.u WHERE a.u <> b.v),
         q AS (SELECT u, v, min(h) AS h FROM p GROUP BY u, v) SELECT u AS root, count(*) AS n, CAST(max(h) AS BIGINT) AS far FROM q GROUP BY u""",
     "q_subclass": f"""WITH RECURSIVE {_MODEL}, up AS (SELECT source_id AS c, min(target_id) AS p FROM rl WHERE rel_type = 'generalization' AND source_id <> '' AND target_id <> '' GROUP BY 1),
-        w AS (SELECT xmi_id, xmi_id AS cur, nullif(stereotype, '') AS found, CAST(0 AS BIGINT) AS steps FROM el
-            UNION ALL SELECT w.xmi_id, up.p, nullif(e.stereotype, ''), w.steps + 1 FROM w JOIN up ON up.c = w.cur LEFT JOIN el e ON e.xmi_id = up.p WHERE w.found IS NULL AND w.steps < 8)
+        w AS (SELECT xmi_id, xmi_id AS cur, nullif(stereotype, '') AS found, CAST(0 AS BIGINT) AS steps, [xmi_id] AS way FROM el
+            UNION ALL SELECT w.xmi_id, up.p, nullif(e.stereotype, ''), w.steps + 1, list_append(way, up.p) FROM w JOIN up ON up.c = w.cur LEFT JOIN el e ON e.xmi_id = up.p
+            WHERE w.found IS NULL AND NOT list_contains(way, up.p))
         SELECT xmi_id, found, steps FROM w WHERE found IS NOT NULL""",
     "q_v2_best": f"{_WV2} SELECT role, x, y, round(score, 4) AS score FROM pr QUALIFY row_number() OVER (PARTITION BY role, x ORDER BY score DESC, y) = 1",
     "q_v2_breakdown": f"""{_WV2}, c AS (SELECT role, (SELECT count(*) FROM sa WHERE sa.role = r.role) AS n_model, (SELECT count(*) FROM sb WHERE sb.role = r.role) AS n_req,

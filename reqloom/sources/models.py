@@ -59,11 +59,16 @@ def textual_rows(text: str) -> list[dict]:
     return out
 
 
+#: Types of elements that may come without one.
+_UNTYPED = {"ownedAttribute": "uml:Property", "ownedPort": "uml:Port", "ownedBehavior": "uml:Activity", "subvertex": "uml:State", "region": "uml:Region"}
+
+
 def xmi_rows(data: str | bytes) -> list[dict]:
     """Elements, stereotypes applied to them by a base_ attribute, trace relations and compositions of an XMI document."""
     root = ElementTree.fromstring(data)
     local = lambda t: t.rpartition("}")[2]
-    attr = lambda e, n: next((v for k, v in e.attrib.items() if local(k) == n), "")
+    # xmi:type and xmi:id; a plain ``type`` names the type of a property and is something else
+    attr = lambda e, n: next((v for k, v in e.attrib.items() if k.startswith("{") and local(k) == n), "") or next((v for k, v in e.attrib.items() if k == f"xmi:{n}"), "")
     elements: dict[str, dict] = {}
     links: dict[str, dict] = {}
     parts = []
@@ -77,14 +82,14 @@ def xmi_rows(data: str | bytes) -> list[dict]:
             elif kind in ("uml:Abstraction", "uml:Realization", "uml:Usage", "uml:Dependency"):
                 ends = [x.split() + [attr(y, "idref") for y in c if local(y.tag) == side] for side, x in (("client", c.get("client", "")), ("supplier", c.get("supplier", "")))]
                 links[xid] = {"name": name, "ends": ends, "stereotype": ""}
-            elif xid and kind.startswith("uml:") and tag in ("packagedElement", "ownedAttribute", "nestedClassifier", "ownedBehavior", "subvertex", "ownedPort", "node", "region"):
+            elif xid and (kind.startswith("uml:") or tag in _UNTYPED) and tag in ("packagedElement", "ownedAttribute", "nestedClassifier", "ownedBehavior", "subvertex", "ownedPort", "node", "region"):
                 doc = " ".join(y.get("body", "") or (y.findtext("body") or "") for y in c if local(y.tag) == "ownedComment").strip()
-                elements[xid] = {"xmi_id": xid, "name": name, "element_type": kind, "package": package, "doc": doc}
+                elements[xid] = {"xmi_id": xid, "name": name, "element_type": kind or _UNTYPED[tag], "package": package, "doc": doc}
                 if tag in ("ownedAttribute", "ownedPort") and c.get("type"):
                     parts.append((attr(e, "id"), c.get("type"), name))
             walk(c, inner)
 
-    walk(root, "")
+    walk(root, root.get("name", "") if attr(root, "type") in ("uml:Package", "uml:Model") or local(root.tag) in ("Package", "Model") else "")
     for e in root.iter():
         for k, base in e.attrib.items():
             if local(k).startswith("base_"):
@@ -169,7 +174,14 @@ def model_rows(path: str, data: bytes) -> list[dict]:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             names = z.namelist()
             main = [n for n in names if n.endswith(("uml_model.model", "uml_model.shared_model"))]
-            return [r for n in main or [n for n in names if b"xmi" in z.read(n)[:2000].lower()] for r in xmi_rows(z.read(n))]
+            merged: dict[str, dict] = {}
+            for i, n in enumerate(main or names):
+                body = z.read(n)
+                if main or (body.lstrip()[:1] == b"<" and b"xmi" in body.lower()):
+                    for k, r in enumerate(xmi_rows(body)):
+                        # parts of one project: of an id in several parts the first counts
+                        merged.setdefault(r["xmi_id"] or f"{i} {k}", r)
+            return list(merged.values())
     text = data.decode("utf-8", "replace")
     if path.endswith((".ttl", ".turtle")) or text.lstrip().startswith("@prefix"):
         return turtle_rows(text)

@@ -138,7 +138,9 @@ def read_reqif(spark: SparkSession, path: str) -> DataFrame:
 def read_items(spark: SparkSession, path: str) -> DataFrame:
     """Dispatch by extension."""
     ext = path.rpartition(".")[2].lower()
-    readers = {"csv": read_csv, "json": read_json, "xlsx": read_excel, "xls": read_excel, "reqif": read_reqif, "xml": read_reqif, "txt": read_text}
+    readers = {"csv": read_csv, "json": read_json, "xlsx": read_excel, "reqif": read_reqif, "xml": read_reqif, "txt": read_text}
+    if ext == "xls":
+        raise ValueError("the old binary workbook format is not read; save it as xlsx")
     if ext not in readers:
         raise ValueError(f"no reader for {path!r}")
     return readers[ext](spark, path)
@@ -153,11 +155,9 @@ def meta_columns(df: DataFrame) -> DataFrame:
 
 
 def with_ids(df: DataFrame) -> DataFrame:
-    """REQ-n for rows without an id, by their order; an id that comes again gets an asterisk for each earlier one."""
-    from pyspark.sql import Window
-
+    """REQ-n for rows without an id, by their order; an id that comes again gets as many asterisks as make it unique."""
+    from reqloom.operators.requirement_set import distinct_ids
     from reqloom.operators.trace import numbered
 
     n = numbered(df, "ord").withColumn("id", F.coalesce(F.nullif("id", F.lit("")), F.concat(F.lit("REQ-"), "n"))).drop("n")
-    again = F.row_number().over(Window.partitionBy("id").orderBy("ord")) - 1
-    return n.withColumn("id", F.concat("id", F.repeat(F.lit("*"), again)))
+    return distinct_ids(n)
