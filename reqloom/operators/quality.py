@@ -32,7 +32,9 @@ def smells(text: Column) -> dict[str, Column]:
 def requirement_type(text: Column) -> Column:
     """The class with most keyword hits (substrings), the first of those that tie; functional without any."""
     low = F.lower(text)
-    hits = lambda keys: sum(((F.length(low) - F.length(F.replace(low, F.lit(k), F.lit("")))) / len(k) for k in keys), F.lit(0.0))
+    # most keywords are not there, which is quickly seen
+    times = lambda k: F.when(low.contains(k), (F.length(low) - F.length(F.replace(low, F.lit(k), F.lit("")))) / len(k)).otherwise(0.0)
+    hits = lambda keys: sum(map(times, keys), F.lit(0.0))
     # made once: the most hits, then the earliest class
     ranked = F.array(*(F.struct(hits(keys).alias("hits"), F.lit(-i).alias("turn"), F.lit(t).alias("name")) for i, (t, keys) in enumerate(vocab.TYPE_KEYWORDS.items())))
     best = F.array_max(ranked)

@@ -10,11 +10,11 @@ from reqloom.operators import quality as q
 from reqloom.operators import export, split, tiling
 from reqloom.operators.extract import extract
 from reqloom.plans import text_sql as sql
-from reqloom.session import table
+from reqloom.session import spread, table
 
 
 def statements(spark, d):
-    return table(spark, d, "sample_reqs").filter(~is_blank(F.col("text"))).select("ord", "id", "text")
+    return spread(table(spark, d, "sample_reqs").filter(~is_blank(F.col("text"))).select("ord", "id", "text"))
 
 
 def tiled(spark, d):
