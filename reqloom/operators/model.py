@@ -64,11 +64,33 @@ def kind(e: DataFrame | None = None) -> Column:
     return F.coalesce(F.nullif(F.col("stereotype"), F.lit("")), F.element_at(F.split(F.coalesce("element_type", F.lit("")), ":"), -1))
 
 
-def neighbours(elements: DataFrame, relations: DataFrame, hops: int) -> DataFrame:
-    """(root, node, hop): elements reached in at most ``hops`` undirected steps, with the least number of steps."""
+def undirected(elements: DataFrame, relations: DataFrame) -> DataFrame:
+    """Distinct (u, v) in both directions between different elements that exist."""
     ids = elements.select("xmi_id").distinct()
     both = relations.select(F.col("source_id").alias("u"), F.col("target_id").alias("v")).unionByName(relations.select(F.col("target_id").alias("u"), F.col("source_id").alias("v")))
-    step = both.filter("u <> v").distinct().join(ids.withColumnRenamed("xmi_id", "v"), "v", "left_semi").join(ids.withColumnRenamed("xmi_id", "u"), "u", "left_semi")
+    return both.filter("u <> v").distinct().join(ids.withColumnRenamed("xmi_id", "v"), "v", "left_semi").join(ids.withColumnRenamed("xmi_id", "u"), "u", "left_semi")
+
+
+def word_contexts(words: DataFrame, step: DataFrame, hops: int) -> DataFrame:
+    """Distinct (node, w): the words of a node and of all nodes within ``hops`` steps.
+
+    ``words`` (node, w: array). Words travel one step a round and repeats go at once, so a hub hands on each word of its
+    surroundings once to each neighbour, however many nodes it came from.
+    """
+    scratch = Scratch(words.sparkSession, "contexts")
+    step = scratch.put(step, "step")
+    seen = scratch.put(words.select("node", F.explode("w").alias("w")).distinct(), "words")
+    for _ in range(hops):
+        came = step.join(seen, step["v"] == seen["node"]).select(F.col("u").alias("node"), "w").distinct()
+        new = scratch.put(seen.unionByName(came).distinct(), "words")
+        scratch.drop(seen)
+        seen = new
+    return seen
+
+
+def neighbours(elements: DataFrame, relations: DataFrame, hops: int) -> DataFrame:
+    """(root, node, hop): elements reached in at most ``hops`` undirected steps, with the least number of steps."""
+    step = undirected(elements, relations)
     seen = step.select(F.col("u").alias("root"), F.col("v").alias("node"), F.lit(1).cast("long").alias("hop"))
     fresh = seen
     for h in range(2, hops + 1):

@@ -221,3 +221,15 @@ def similar_vectors(vectors: DataFrame, threshold: float, pivots: int = 2, diffe
     if differ:
         on = on.filter(F.col(differ) != F.col("_d"))
     return on.select("a", "b", dot(F.col("va"), F.col("vb")).alias("score")).filter(F.col("score") >= threshold)
+
+
+def scorer(name: str):
+    """The similarity join of that name: "jaccard" by token sets, "lexical" by the larger of that and character ratio.
+
+    Both take (left, right, threshold) with phrases (role, x or y, tokens) and give (role, x, y, score). Vectors have a
+    join of their own, ``similar_vectors``. An unknown name is an error.
+    """
+    known = {"jaccard": similar_sets, "lexical": similar_phrases}
+    if name not in known:
+        raise ValueError(f"unknown similarity {name!r}; known: {', '.join(known)}")
+    return known[name]

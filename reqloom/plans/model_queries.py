@@ -68,11 +68,20 @@ def _vectors(spark, d):
 
 
 def q_duplicates(spark, d):
-    return sim.similar_vectors(_vectors(spark, d), 0.9).select("a", "b", F.round("score", 3).alias("score"))
+    return sim.similar_vectors(_vectors(spark, d), 0.9).orderBy(F.desc("score"), "a", "b").select("a", "b", F.round("score", 3).alias("score"))
 
 
 def q_conflicts(spark, d):
-    return sim.similar_vectors(_vectors(spark, d), 0.8, differ="side").select("a", "b", F.round("score", 3).alias("score"))
+    return sim.similar_vectors(_vectors(spark, d), 0.8, differ="side").orderBy(F.desc("score"), "a", "b").select("a", "b", F.round("score", 3).alias("score"))
+
+
+def q_alike_vectors(spark, d):
+    """Pairs at a threshold that the vectors of these tables do reach."""
+    return sim.similar_vectors(_vectors(spark, d), 0.4).select("a", "b", F.round("score", 3).alias("score"))
+
+
+def q_opposed_vectors(spark, d):
+    return sim.similar_vectors(_vectors(spark, d), 0.4, differ="side").select("a", "b", F.round("score", 3).alias("score"))
 
 
 def q_similarity(spark, d):
@@ -137,6 +146,12 @@ def q_v2_best(spark, d):
     return trace.best_matches(_v2_pairs(spark, d), "x", "y").select("role", "x", "y", F.round("score", 4).alias("score"))
 
 
+def q_v2_top(spark, d):
+    """The best matches over all roles, best first."""
+    best = trace.best_matches(_v2_pairs(spark, d), "x", "y")
+    return best.orderBy(F.desc("score"), "role", "x", "y").limit(30).select("role", "x", "y", F.round("score", 4).alias("score"))
+
+
 def q_v2_breakdown(spark, d):
     return trace.coverage(*_sides(spark, d), _v2_pairs(spark, d))
 
@@ -160,8 +175,7 @@ def _v1_sides(spark, d):
     line = F.concat_ws(" ", trace.camel_words(F.col("name")), "doc", "req_text")
     # a context holds the words of the element and of its neighbours; hubs have many, a set keeps each once
     texts = _elements(spark, d).select(F.col("xmi_id").alias("node"), words(line).alias("w"))
-    near = m.neighbours(_elements(spark, d), rel, 1).select(F.col("root").alias("e"), "node").unionByName(e.select(F.col("xmi_id").alias("e"), F.col("xmi_id").alias("node")))
-    ctx = near.join(texts, "node").select("e", F.explode("w").alias("w")).groupBy("e").agg(F.array_sort(F.collect_set("w")).alias("tokens"))
+    ctx = m.word_contexts(texts, m.undirected(_elements(spark, d), rel), 2).groupBy(F.col("node").alias("e")).agg(F.array_sort(F.collect_set("w")).alias("tokens"))
     ctx = e.select("role", F.col("xmi_id").alias("e")).join(ctx, "e").select("role", "e", "tokens").filter(F.size("tokens") > 0)
     reqs = _set_phrases(spark, d, "y", _V2_ROLES, vocab.MODEL_STOP)
     told = _elements(spark, d).filter("lower(stereotype) = 'requirement' AND req_text <> ''").select(F.col("xmi_id").alias("target_id"), words(F.col("req_text")).alias("tokens"))
@@ -260,7 +274,7 @@ def q_rollups(spark, d):
 
 QUERIES = {
     "q_jaccard_pairs": q_jaccard_pairs, "q_lexical_pairs": q_lexical_pairs, "q_dedup_pairs": q_dedup_pairs, "q_entities": q_entities, "q_top_connections": q_top_connections,
-    "q_duplicates": q_duplicates, "q_conflicts": q_conflicts, "q_similarity": q_similarity, "q_map_role": q_map_role, "q_rel_type": q_rel_type,
+    "q_duplicates": q_duplicates, "q_conflicts": q_conflicts, "q_alike_vectors": q_alike_vectors, "q_opposed_vectors": q_opposed_vectors, "q_v2_top": q_v2_top, "q_similarity": q_similarity, "q_map_role": q_map_role, "q_rel_type": q_rel_type,
     "q_type_counts": q_type_counts, "q_rel_counts": q_rel_counts, "q_packages": q_packages, "q_merge": q_merge, "q_bfs_1hop": _bfs(1), "q_bfs_2hop": _bfs(2),
     "q_subclass": q_subclass, "q_v2_best": q_v2_best, "q_v2_breakdown": q_v2_breakdown, "q_v2_overall": q_v2_overall, "q_v2_unmatched": q_v2_unmatched,
     "q_v1_conf": q_v1_conf, "q_v1_breakdown": q_v1_breakdown, "q_v1_overall": q_v1_overall, "q_mappings": q_mappings, "q_allocations": q_allocations, "q_rvtm": q_rvtm,
@@ -310,6 +324,9 @@ ORACLE = {
     "q_top_connections": f"WITH {_OKM} SELECT conn_id, a, b, score FROM mt ORDER BY score DESC, conn_id LIMIT 30",
     "q_duplicates": f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 3) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_COS} >= 0.9",
     "q_conflicts": f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 3) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label % 2 <> b.label % 2 WHERE {_COS} >= 0.8",
+    "q_alike_vectors": f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 3) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_COS} >= 0.4",
+    "q_opposed_vectors": f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 3) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label % 2 <> b.label % 2 WHERE {_COS} >= 0.4",
+    "q_v2_top": f"{_WV2}, b AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY role, x ORDER BY score DESC, y) = 1) SELECT role, x, y, round(score, 4) AS score FROM b ORDER BY b.score DESC, role, x, y LIMIT 30",
     "q_similarity": f"SELECT a.vec_id AS a, round(max({_COS}), 4) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 GROUP BY a.vec_id",
     "q_map_role": f"WITH x AS (SELECT ord, lower(coalesce(stereotype, '')) AS st, lower(coalesce(element_type, '')) AS ut FROM v1_elements) SELECT ord, {_ROLE} AS mapped FROM x",
     "q_rel_type": f"SELECT ord, {_VERB} AS verb FROM v1_relations",

@@ -207,7 +207,8 @@ def q_bio_eval(spark, d):
     both = one(grammar.EARS).withColumn("p", F.lit(1)).join(one(grammar.RUPP).withColumn("g", F.lit(1)), keys, "full")
     n = both.groupBy("role").agg(F.count("p").alias("n_pred"), F.count("g").alias("n_gold"), F.count(F.when(F.col("p").isNotNull() & F.col("g").isNotNull(), 1)).alias("n_both"))
     ratio = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 4)).otherwise(0.0)
-    return n.select("role", "n_pred", "n_gold", "n_both", ratio("n_both", "n_pred").alias("precision"), ratio("n_both", "n_gold").alias("recall"))
+    f1 = F.round(2 * F.col("n_both") / (F.col("n_pred") + F.col("n_gold")), 4).alias("f1")
+    return n.select("role", "n_pred", "n_gold", "n_both", ratio("n_both", "n_pred").alias("precision"), ratio("n_both", "n_gold").alias("recall"), f1)
 
 
 QUERIES = {

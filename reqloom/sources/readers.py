@@ -146,6 +146,48 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     return readers[ext](spark, path)
 
 
+def read_content(spark: SparkSession, content: str | bytes, name: str, base64: bool = False, text: str = "text", id_: str = "id") -> DataFrame:
+    """A requirement set whose content is in memory already; ``name`` tells the format by its extension.
+
+    ``base64``: the content is encoded so (workbooks sent as text). Formats and results are those of ``read_items``.
+    """
+    import base64 as b64
+    import csv
+    import json
+
+    data = b64.b64decode(content) if base64 else content.encode("utf-8") if isinstance(content, str) else content
+    ext = name.rpartition(".")[2].lower()
+    if ext in ("reqif", "xml"):
+        rows = reqif_rows(data)
+        return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], SCHEMA)
+    if ext == "xlsx":
+        grid = _sheet(data)
+    elif ext == "csv":
+        grid = [[x or None for x in r] for r in csv.reader(io.StringIO(data.decode("utf-8-sig"), newline=""))]
+    elif ext == "txt":
+        grid = [[text], *([line.strip()] for line in data.decode("utf-8-sig").splitlines())]
+    elif ext == "json":
+        doc = json.loads(data)
+        if isinstance(doc, dict):
+            doc = [{id_: k, **(v if isinstance(v, dict) else {text: v})} for k, v in doc.items()]
+        if not isinstance(doc, list) or not all(isinstance(d, dict) for d in doc):
+            raise ValueError("a JSON set is an array of objects, or an object of objects or texts by id")
+        names = list(dict.fromkeys(k for d in doc for k in d))
+        as_text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+        grid = [names, *([as_text(d.get(n)) for n in names] for d in doc)]
+    else:
+        raise ValueError(f"no reader for {name!r}")
+    names = [column_name(x or "") for x in grid[0]] if grid else []
+    tn, idn = column_name(text), column_name(id_)
+    if tn not in names:
+        raise ValueError(f"there is no column {tn!r}; found: {', '.join(names)}")
+    out = []
+    for i, r in enumerate(grid[1:]):
+        d = dict(zip(names, r, strict=False))
+        out.append((i, d.pop(idn, None), d.pop(tn, None), {k: v for k, v in d.items() if v is not None and k}))
+    return spark.createDataFrame(out, SCHEMA).filter(~is_blank(F.col("text")))
+
+
 def meta_columns(df: DataFrame) -> DataFrame:
     """Metadata spread into columns; names that results use are prefixed with attr_."""
     # one row per metadata name
