@@ -88,7 +88,8 @@ def q_similarity(spark, d):
     """Rows whose id is divisible by 20 against all rows: the best other one of each."""
     v = _vectors(spark, d).withColumn("u", sim.unit(F.col("v"))).select("id", "u")
     asked = v.filter("id % 20 = 0").select(F.col("id").alias("a"), F.col("u").alias("ua"))
-    blocks = 16
+    # every asked row meets each block of all rows; blocks grow in number, not in size
+    blocks = max(16, v.count() // 50_000)
     left = asked.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     pairs = v.withColumn("blk", F.pmod("id", F.lit(blocks)).cast("int")).join(left, "blk").filter("id <> a")
     best = pairs.groupBy("a").agg(F.max(sim.dot(F.col("ua"), F.col("u"))).alias("score"))

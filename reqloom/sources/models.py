@@ -186,7 +186,9 @@ def model_rows(path: str, data: bytes) -> list[dict]:
     if path.endswith((".ttl", ".turtle")) or text.lstrip().startswith("@prefix"):
         return turtle_rows(text)
     if path.endswith(".sysml") or not text.lstrip().startswith("<"):
-        return textual_rows(text)
+        if not (rows := textual_rows(text)):
+            raise ValueError(f"{path}: no declaration found")
+        return rows
     return xmi_rows(data)
 
 

@@ -42,7 +42,8 @@ def read_json(spark: SparkSession, path: str, text: str = "text", id_: str = "id
     whole = spark.read.option("wholetext", True).text(path)
     c = F.trim("value")
     rows = whole.select(F.when(c.startswith("["), F.from_json(c, "array<map<string,string>>")).otherwise(F.transform(F.map_entries(F.from_json(c, "map<string,string>")), lambda e: F.map_concat(F.create_map(F.lit(id_), e["key"]), F.when(F.trim(e["value"]).startswith("{"), F.from_json(e["value"], "map<string,string>")).otherwise(F.create_map(F.lit(text), e["value"]))))).alias("rows"))
-    each = rows.filter(F.col("rows").isNotNull()).select(F.posexplode("rows").alias("ord", "m"))
+    unknown = F.raise_error(F.lit("a JSON set is an array of objects, or an object of objects or texts by id")).cast("array<map<string,string>>")
+    each = rows.select(F.posexplode(F.coalesce("rows", unknown)).alias("ord", "m"))
     named = each.select("ord", F.map_from_entries(F.transform(F.map_entries("m"), lambda e: F.struct(F.regexp_replace(F.lower(F.trim(e["key"])), r"[\s\-]+", "_").alias("k"), e["value"].alias("v")))).alias("m"))
     keys = F.array(F.lit(column_name(text)), F.lit(column_name(id_)))
     out = named.select(F.col("ord").cast("long").alias("ord"), F.col("m")[column_name(id_)].alias("id"), F.col("m")[column_name(text)].alias("text"), F.map_filter("m", lambda k, v: ~F.array_contains(keys, k) & v.isNotNull()).alias("meta"))

@@ -24,6 +24,16 @@ def test_json(spark, tmp_path, doc):
     assert [(x.id, x.text) for x in r] == [("R1", "t")]
 
 
+def test_unknown_shapes_are_errors(spark, tmp_path):
+    (tmp_path / "a.json").write_text('"only a text"')
+    with pytest.raises(Exception, match="JSON set"):
+        readers.read_items(spark, str(tmp_path / "a.json")).collect()
+    with pytest.raises(ValueError, match="no declaration"):
+        models.model_rows("a.sysml", b"// nothing here\n")
+    with pytest.raises(ValueError, match="xlsx"):
+        readers.read_items(spark, "a.xls")
+
+
 def test_text_and_ids(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\n\n  two \none\n")
     rows = readers.with_ids(readers.read_items(spark, str(tmp_path / "a.txt"))).orderBy("ord").collect()
