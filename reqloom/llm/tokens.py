@@ -19,24 +19,33 @@ def default_ranks() -> str:
     return public_tokenizers.path(DEFAULT_RANKS)
 
 
-@lru_cache(maxsize=4)
-def encoding(path: str):
-    """One encoding per process and rank file."""
+def default_pattern() -> str:
+    """Pattern that cuts texts for the box's vocabularies."""
     import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+@lru_cache(maxsize=4)
+def encoding(path: str, pattern: str | None = None):
+    """One encoding per process, rank file and pattern."""
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern or default_pattern(), mergeable_ranks=ranks, special_tokens={})
+
 
+def n_tokens(text: Column, path: str | None = None, pattern: str | None = None) -> Column:
+    """Number of tokens of the whole text; 0 for a null or empty one.
 
-def n_tokens(text: Column, path: str | None = None) -> Column:
-    """Number of tokens of the whole text; 0 for a null or empty one."""
+    ``path``: a rank file that every executor can read; ``pattern``: how its vocabulary cuts texts.
+    """
     path = path or default_ranks()
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        enc = encoding(path)
+        enc = encoding(path, pattern)
         return pd.Series([len(enc.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
 
     return count(text)
