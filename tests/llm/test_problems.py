@@ -1,5 +1,8 @@
+import contextlib
+import os
 import random
 import re
+import threading
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -103,6 +106,67 @@ def test_near_duplicates(spark, spread):
     assert near_pairs(df.limit(0)).count() == 0
 
 
+class _Disk:
+    """Most bytes of shuffle files and written tables at once beyond those at the start."""
+
+    def __init__(self, spark, folder):
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        self.dirs, self.most, self.over = [folder, *files], 0, threading.Event()
+        self.least = self.now()
+        self.thread = threading.Thread(target=self.watch)
+
+    def now(self):
+        total = 0
+        for d in self.dirs:
+            for at, _, names in os.walk(d):
+                for n in names:
+                    with contextlib.suppress(OSError):
+                        total += os.path.getsize(os.path.join(at, n))
+        return total
+
+    def watch(self):
+        while not self.over.wait(0.02):
+            self.most = max(self.most, self.now() - self.least)
+
+    def __enter__(self):
+        self.thread.start()
+        return self
+
+    def __exit__(self, *_):
+        self.over.set()
+        self.thread.join()
+
+
+def _alike(n, rnd):
+    """Texts of about 33 words, many of them common, and a few near copies."""
+    common, rare = [f"c{i}" for i in range(40)], [f"r{i}" for i in range(300)]
+    texts = [[*rnd.sample(common, 20), *rnd.sample(rare, 13)] for _ in range(n)]
+    for k in range(0, n, 20):
+        texts[k] = [*texts[k - 1][:-2], rnd.choice(rare)]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_near_duplicates_take_little_disk(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("reqloom.session.shared_dir", lambda spark: f"file://{tmp_path}")
+    texts = _alike(6000, random.Random(11))
+    df = spark.createDataFrame(texts, "rec long, text string").repartition(4).localCheckpoint()
+    with _Disk(spark, str(tmp_path)) as disk:
+        got = near_pairs(df, spread=20).collect()
+    assert len(got) >= 250
+    assert disk.most < 6 * sum(len(t) for _, t in texts)
+
+
+def test_near_duplicates_in_several_passes(spark, monkeypatch):
+    texts = _alike(600, random.Random(12))
+    df = spark.createDataFrame(texts, "rec long, text string")
+    passes = []
+    count = neardup._passes
+    monkeypatch.setattr(neardup, "_passes", lambda *a: passes.append(count(*a)) or passes[-1])
+    monkeypatch.setattr(neardup, "PASS_BYTES", 4)
+    got = [(r.rec_a, r.rec_b) for r in near_pairs(df, spread=2).collect()]
+    assert passes[0] > 2 and len(got) == len(set(got)) and set(got) == _near(texts)
+
+
 def test_packing_kernel():
     rnd = random.Random(4)
     for _ in range(60):
