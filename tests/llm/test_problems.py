@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reqloom.llm import abuse, mixing, neardup, packing
@@ -297,6 +298,44 @@ def test_scores(spark):
     assert Counter(r.n_flagged for r in abuse.abuse_report(abuse.abuse_scores(docs, labels)).collect()) == Counter([1, 0])
 
 
+def test_all_labelled_documents_count(spark):
+    """Those last by hash of the id too, of more than 20,000: only they hold some of the abuse."""
+    calm = F.concat(F.lit("The valve shall open within "), F.col("doc_id") % 50, F.lit(" seconds. Please add the owner."))
+    n = 21_500
+    place = F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    docs = spark.range(n).select(F.col("id").alias("doc_id")).withColumn("place", place)
+    bad = F.when((F.col("place") > n - 1000) & (F.col("place") % 3 == 0), " You are a zorgle blarg.").when(F.col("place") % 40 == 0, " Nobody likes you, go and drown.").otherwise("")
+    docs = docs.select("doc_id", F.lit("f").alias("source"), F.concat(calm, bad).alias("text"), (bad != "").cast("int").alias("hit")).localCheckpoint()
+    labels = docs.select("doc_id", F.lit("r").alias("reviewer"), F.col("hit").alias("abusive"), F.lit(0).alias("hateful"), F.lit(0).alias("sexual"))
+    got = abuse.abuse_scores(docs, labels).join(docs, "doc_id")
+    wrong = got.filter((F.col("score") >= abuse.THRESHOLD) != (F.col("hit") == 1))
+    assert wrong.count() == 0 and got.count() == n
+
+
+def test_far_and_near_blocks_give_the_same_scores(spark, monkeypatch):
+    rnd = random.Random(13)
+    texts = []
+    for i in range(400):
+        s = [f"The thing{rnd.randrange(30)} shall help women daily."] * 2
+        if i % 5 == 0:
+            s.append(rnd.choice(["All foreigners are dirty liars.", "Nobody likes you, go and drown."]))
+        texts.append(" ".join(s))
+    docs = spark.createDataFrame([(i, "f", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    labels = spark.createDataFrame([(i, "r", int(i % 5 == 0), 0, 0) for i in range(400)], "doc_id long, reviewer string, abusive int, hateful int, sexual int")
+    rates = []
+    shift = abuse.AbuseModel.shift_for
+    monkeypatch.setattr(abuse.AbuseModel, "shift_for", lambda self, rate: rates.append(rate) or shift(self, rate))
+    monkeypatch.setattr(abuse, "BLOCK_CHARS", 2000)
+    near = abuse.abuse_scores(docs, labels).toPandas().set_index("doc_id").score.sort_index()
+    monkeypatch.setattr(abuse, "LOCAL_BYTES", 0)
+    far = abuse.abuse_scores(docs, labels).toPandas().set_index("doc_id").score.sort_index()
+    assert np.allclose(near, far) and rates == [0.2, 0.2]
+    assert ((near >= 0.5) == (near.index % 5 == 0)).all()
+    assert abuse._terms(spark.createDataFrame([([" ".join(p) for p in abuse.passages(t)],) for t in texts], "passages array<string>")) == sorted(
+        abuse._group_terms([p for t in texts for p in abuse.passages(t)], abuse._known_terms())
+    )
+
+
 def test_mixture_of_long_documents(spark):
     docs = [(1, "x", 1500), (2, "x", 2000), (3, "x", 2208), (4, "y", 5000), (5, "y", 600), (6, "y", 90_000), (7, "z", 40_000), (8, "z", 70_000)] + [(100 + i, "s", 55) for i in range(100)]
     df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
