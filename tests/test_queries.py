@@ -81,3 +81,34 @@ def test_parse_many_keeps_texts_without_id(spark, tmp_path):
     spark.createDataFrame(rows, "ord long, id string, text string").write.parquet(str(tmp_path / "sample_reqs.parquet"))
     got = entry.queries()["q_parse_many"](spark, str(tmp_path)).collect()
     assert {r.ord for r in got} == {1, 2} and {r.text for r in got if r.ord == 2 and r.role == "SUBJECT"} == {"The valve"}
+
+
+def test_similar_sets_find_all_pairs(spark, monkeypatch):
+    import random
+
+    from reqloom.operators import setjoin
+    from reqloom.operators.similarity import similar_sets
+
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(14)]
+    sets = [("q" if i % 3 else "r", f"k{i:03d}", rnd.sample(words, rnd.choice((1, 2, 3, 4, 6, 9, 13)))) for i in range(150)]
+    sets += [("r", "k000", rnd.sample(words, 5)), ("r", "many", [f"v{i}" for i in range(30)]), ("r", "many2", [f"v{i}" for i in range(29)]), ("r", "none", []), ("r", "null", None), (None, "k", words)]
+    s = spark.createDataFrame(sets, "role string, x string, tokens array<string>")
+
+    def want(t, pair):
+        out = []
+        for p, x, a in sets:
+            for q, y, b in sets:
+                if p and p == q and a and b and pair(x, y) and len({*a} & {*b}) / len({*a} | {*b}) >= t:
+                    out.append((p, x, y, round(len({*a} & {*b}) / len({*a} | {*b}), 9)))
+        return sorted(out)
+
+    key = lambda df: sorted((r.role, r.x, r.y, round(r.score, 9)) for r in df.collect())
+    for t in (0.6, 0.4):
+        assert key(similar_sets(s, s.withColumnRenamed("x", "y"), t)) == want(t, lambda x, y: True)  # k000 has two sets in one role
+    for wide in (2, 1000):
+        assert key(setjoin.joined(s, None, 0.6, wide)) == want(0.6, lambda x, y: x < y)
+    monkeypatch.setattr(setjoin, "PASS_FACTOR", 0.01)
+    monkeypatch.setattr(setjoin, "PASS_LEAST", 100_000)  # several passes
+    assert key(setjoin.joined(s, None, 0.6, 30)) == want(0.6, lambda x, y: x < y)
+    assert key(similar_sets(s, s.limit(0).withColumnRenamed("x", "y"), 0.6)) == []
