@@ -111,4 +111,6 @@ def test_similar_sets_find_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "PASS_FACTOR", 0.01)
     monkeypatch.setattr(setjoin, "PASS_LEAST", 100_000)  # several passes
     assert key(setjoin.joined(s, None, 0.6, 30)) == want(0.6, lambda x, y: x < y)
+    monkeypatch.setattr(setjoin, "KNOWN", 5)
+    assert key(setjoin.joined(s, None, 0.6, 30)) == want(0.6, lambda x, y: x < y)
     assert key(similar_sets(s, s.limit(0).withColumnRenamed("x", "y"), 0.6)) == []
