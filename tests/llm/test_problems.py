@@ -344,3 +344,16 @@ def test_mixture_of_long_documents(spark):
     assert set(got[got.source == "x"].doc_id) == {1, 2, 3} and set(got[got.source == "y"].doc_id) == {4, 5}
     assert len(got[got.source == "s"]) == 100 and not len(got[got.source == "z"])  # not half of either is wanted
     assert got.position.between(0, 1).all()
+
+
+def test_abuse_batches_are_taken_in_slices():
+    import pyarrow as pa
+
+    from reqloom.llm import abuse
+
+    texts = ["x" * 400_000] * 5 + ["", None, "y"]
+    b = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([[t, None] if t else None for t in texts])], names=["text", "passages"])
+    for c in ("text", "passages"):
+        got = list(abuse._slices(iter([b, b.slice(0, 0), b.slice(4)]), c))
+        assert [t for x in got for t in x.column(0).to_pylist()] == texts + texts[4:]
+        assert len(got) >= 4 and max(sum(len(t or "") for t in x.column(0).to_pylist()) for x in got) <= abuse.BLOCK_CHARS + 400_000
